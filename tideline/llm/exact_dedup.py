@@ -98,7 +98,7 @@ def _ints(t: pa.Table, name: str) -> np.ndarray:
 
 def _merge(history: pa.Table, batch: pa.Table) -> pa.Table:
     """Groups of one shard: the history's slots with what the batch adds, then the batch's own."""
-    history, batch = (t if t.num_columns else _NONE for t in (history, batch))  # a shard with one side only
+    history, batch = (t if t.num_rows else _NONE for t in (history, batch))  # a shard with one side only
     old, new = _digests(history), _digests(batch)
     table = PerfectHash(old)
     slot_digest = np.zeros((table.size, 32), np.uint8)
@@ -142,7 +142,9 @@ def digest_groups(digests: DataFrame) -> DataFrame:
 def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     """Groups of the history's and the batch's digests together; both as digest_groups() returns them."""
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    left, right = history.withColumn("shard", shard), batch.withColumn("shard", shard)
+    columns = ("digest", "keep_id", "group_size", "n_keep")
+    own = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in columns]).select(*[F.col(f"_{c}").alias(c) for c in columns]).withColumn("shard", shard)  # noqa: E731  both may come from one table
+    left, right = own(history), own(batch)
     schema = "digest binary, keep_id long, group_size long, n_keep long"
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_merge, schema)
 

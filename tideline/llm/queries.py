@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.piece_codec import encode_decode
+from tideline.llm.pii import find_pii
 from tideline.llm.token_counts import count_tokens
 
 WORD_BPE = "word_bpe_49k.json"
@@ -28,10 +30,16 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), with_ids=False)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "scores")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_piece_codec": op5_piece_codec,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
