@@ -192,13 +192,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             rows: list[tuple] = []
             raw = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             if len(raw) > 1:
-                split = [t.split() for t in raw]
+                split = [table.split(t) for t in raw]
                 table.learn(set().union(*split))
                 ids = [b"".join([*table.lookup(words), tail]) for words in split]
             else:
                 parts = []
                 for part in safe_parts(raw[0], BATCH_BYTES // 2):
-                    words = part.split()
+                    words = table.split(part)
                     table.learn(set(words))
                     parts.append(b"".join(table.lookup(words)))
                 ids = [b"".join([*parts, tail])]

@@ -48,12 +48,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
                 raw = rows[0].to_pybytes()
                 total = 0
                 for part in safe_parts(raw, split_bytes):
-                    words = part.split()
+                    words = table.split(part)
                     table.learn(set(words))
                     total += sum(table.lookup(words))
                 n_bytes, n_tokens = [len(raw)], [total]
             else:
-                split = [x.to_pybytes().split() for x in rows]
+                split = [table.split(x.to_pybytes()) for x in rows]
                 table.learn(set().union(*split))
                 n_bytes = [x.size for x in rows]
                 n_tokens = [sum(table.lookup(words)) for words in split]

@@ -2,18 +2,23 @@
 
 A worker keeps one table for each tokenizer file across its tasks: every
 distinct word is segmented once by the library, texts are then put together
-from the table by position.  A table that has grown beyond its bound is
-emptied, which costs time but never changes a result.
+from the table by position.  What a table drops when it has grown
+beyond its bound is segmented anew when it comes again, which costs time but
+never changes a result.
 """
 
 from __future__ import annotations
 
 import re
-
-import numpy as np
-
-#: Distinct words a worker's table holds before it is emptied.
-TABLE_WORDS = 400_000
+import struct
+import unicodedata
+
+#: Distinct words in each of the two generations of a worker's table.
+TABLE_WORDS = 500_000
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and following.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
 _TABLES: dict[tuple, WordTable] = {}
 
 
@@ -22,48 +27,66 @@ class WordTable:
 
     Words are split at ASCII white space only, which the tokenizer's own
     pattern always drops; any other white space stays inside a word and is left
-    to the library.  The end token's own string serves as the delimiter when
-    new words are encoded together; words that hold "<|" go one by one, so
-    special strings inside texts are handled as the library does by default.
+    to the library.  ASCII letters are lowered first, as the tokenizer does.
+    A word's closing run of ASCII punctuation is a token group of its own in
+    the tokenizer's pattern, so it is looked up apart.  A word of letters that
+    normalization leaves alone goes straight to the library's BPE model, in
+    the byte-level alphabet; every other word goes through the whole tokenizer.
+    Texts that hold "<|" are not lowered and their words with it not divided,
+    so special strings are handled as the library does by default.
+
+    The table has two generations: when the younger is full, the older is
+    dropped, so words in use stay known.
     """
 
     def __init__(self, path: str, as_ids: bool, bound: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.bound, self.as_ids = bound, as_ids
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.known: dict[bytes, int | bytes] = {}
+        self.older: dict[bytes, int | bytes] = {}
 
-    def _put(self, words: list[bytes], ids: list[np.ndarray]) -> None:
-        if self.as_ids:
-            self.known.update(zip(words, (x.astype("<u4").tobytes() for x in ids)))
-        else:
-            self.known.update(zip(words, map(len, ids)))
+    def split(self, text: bytes) -> list[bytes]:
+        return (text if b"<|" in text else text.lower()).split()
 
     def learn(self, words: set[bytes]) -> None:
-        """Segment the words that the table doesn't hold yet."""
+        """See to it that the table holds these words."""
         new = words - self.known.keys()
+        if not new:
+            return
         if len(self.known) + len(new) > self.bound:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = words
-        odd = [w for w in new if b"<|" in w or not self._joinable(w)]
-        plain = list(new.difference(odd)) if odd else list(new)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            got = np.array(self.tokenizer.encode(self.mark.join(w.decode() for w in part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(got == self.mark_id)
-            if len(ends) != len(part) - 1:  # a word made the mark itself: no sharing
-                odd += part
-                continue
-            self._put(part, [x[(k > 0) :] for k, x in enumerate(np.split(got, ends))])
-        for w in odd:
-            self._put([w], [np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)])
-
-    @staticmethod
-    def _joinable(word: bytes) -> bool:
-        return len(word) < 10_000
+        older, known = self.older, self.known
+        for w in new:
+            got = older.get(w)
+            if got is None:
+                got = self._segment(w)
+            known[w] = got
+
+    def _segment(self, word: bytes):
+        base = word if b"<|" in word else word.rstrip(PUNCTUATION)
+        if base and len(base) < len(word):
+            text = base.decode("utf-8", "ignore")
+            if text and unicodedata.normalize("NFC", text[-1]).lower()[-1].isalnum():
+                return self._cached(base) + self._cached(word[len(base) :])
+        return self._whole(word)
+
+    def _cached(self, part: bytes):
+        got = self.known.get(part)
+        if got is None:
+            got = self.known[part] = self._whole(part)
+        return got
+
+    def _whole(self, word: bytes):
+        text = word.decode()
+        if text.isalpha() and (text.isascii() and text.islower() or unicodedata.is_normalized("NFC", text) and all(c.lower() == c for c in text)):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_ALPHABET))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids) if self.as_ids else len(ids)
 
     def lookup(self, words: list[bytes]):
         return map(self.known.__getitem__, words)
@@ -102,6 +125,7 @@ class PieceTable:
         self.lead = self.sp.piece_to_id("a")
         self.bound = bound
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Marked words without their first marker; joined by one space each they give the text."""
@@ -114,11 +138,18 @@ class PieceTable:
         return [c[1:] for c in self.SPLIT.findall(" " + text)]
 
     def learn(self, words: set[str]) -> None:
+        """See to it that the table holds these words."""
         new = words - self.known.keys()
         if len(self.known) + len(new) > self.bound:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = words
-        part = list(new)
+        part = []
+        for w in new:
+            got = self.older.get(w)
+            if got is None:
+                part.append(w)
+            else:
+                self.known[w] = got
         ids = [x if w else [self.sp.piece_to_id(self.MARK)] for w, x in zip(part, self.sp.encode(part, num_threads=1))]
         # a leading letter keeps decode() from taking the first marker for the dummy prefix
         texts = self.sp.decode([[self.lead, *x] for x in ids]) if part else []
