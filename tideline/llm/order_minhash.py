@@ -59,7 +59,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 21)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, p)]).astype(np.uint64)) for p in (_PRIME, pow(_PRIME, -1, 1 << 64))]
+        ones = np.ones(1, np.uint64)
+        _POWERS[:] = [np.cumprod(np.concatenate([ones, np.full(size - 1, p, np.uint64)]), dtype=np.uint64) for p in (_PRIME, pow(_PRIME, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
 
@@ -261,8 +262,8 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY, text:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            both = zip(*[(np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(k)) for k in (2, 3)])
-            got = [(i, j, s) for i, j, (x, y) in zip(a, b, both) if (s := similar(x, y, least)) is not None]
+            left, right = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(k)] for k in (2, 3))
+            got = [(i, j, s) for i, j, x, y in zip(a, b, left, right) if (s := similar(x, y, least)) is not None]
             cols = list(zip(*got)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
 

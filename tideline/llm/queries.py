@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tideline.llm import language_id
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.order_minhash import near_classes
 from tideline.llm.packing import pack
 from tideline.llm.piece_codec import encode_decode
 from tideline.llm.pii import find_pii
+from tideline.llm.substring_dedup import remove_repeats
 from tideline.llm.token_counts import count_tokens
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_keep")
 
@@ -37,6 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -48,9 +58,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op7_language_id": op7_language_id,
+    "op8_order_minhash": op8_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
