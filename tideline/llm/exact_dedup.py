@@ -16,6 +16,8 @@ splits when one digest is hot.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,9 +87,6 @@ class PerfectHash:
         return out
 
 
-_NONE = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("n_keep", pa.int64())]).empty_table()
-
-
 def _digests(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t.column("digest").to_pylist()), np.uint8).reshape(t.num_rows, 32)
 
@@ -96,9 +95,8 @@ def _ints(t: pa.Table, name: str) -> np.ndarray:
     return pc.fill_null(t.column(name), np.iinfo(np.int64).min).to_numpy()
 
 
-def _merge(history: pa.Table, batch: pa.Table) -> pa.Table:
+def _merge(history: pa.Table, batch: pa.Table) -> pa.RecordBatch:
     """Groups of one shard: the history's slots with what the batch adds, then the batch's own."""
-    history, batch = (t if t.num_rows else _NONE for t in (history, batch))  # a shard with one side only
     old, new = _digests(history), _digests(batch)
     table = PerfectHash(old)
     slot_digest = np.zeros((table.size, 32), np.uint8)
@@ -119,14 +117,17 @@ def _merge(history: pa.Table, batch: pa.Table) -> pa.Table:
     digests = np.concatenate([slot_digest, new[~member]])
     values = {c: np.concatenate([v, got[c][~member]]) for c, v in slot_values.items()}
     unknown = values["keep_id"] == np.iinfo(np.int64).min
-    return pa.table(
-        {
-            "digest": pa.array([d.tobytes() for d in digests], pa.binary()),
-            "keep_id": pa.array(values["keep_id"], pa.int64(), mask=unknown),
-            "group_size": pa.array(values["group_size"], pa.int64()),
-            "n_keep": pa.array(values["n_keep"], pa.int64()),
-        }
-    )
+    columns = [pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(values["keep_id"], pa.int64(), mask=unknown), *[pa.array(values[c], pa.int64()) for c in ("group_size", "n_keep")]]
+    return pa.record_batch(columns, names=["digest", "keep_id", "group_size", "n_keep"])
+
+
+def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        t = pa.Table.from_batches(rows)
+        for shard in pc.unique(t.column("shard")):
+            part = t.filter(pc.equal(t.column("shard"), shard))
+            yield _merge(part.filter(part.column("old")), part.filter(pc.invert(part.column("old"))))
 
 
 def digest_groups(digests: DataFrame) -> DataFrame:
@@ -142,11 +143,8 @@ def digest_groups(digests: DataFrame) -> DataFrame:
 def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     """Groups of the history's and the batch's digests together; both as digest_groups() returns them."""
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
-    columns = ("digest", "keep_id", "group_size", "n_keep")
-    own = lambda df: df.select(*[F.col(c).alias(f"_{c}") for c in columns]).select(*[F.col(f"_{c}").alias(c) for c in columns]).withColumn("shard", shard)  # noqa: E731  both may come from one table
-    left, right = own(history), own(batch)
-    schema = "digest binary, keep_id long, group_size long, n_keep long"
-    return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_merge, schema)
+    both = history.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
+    return both.withColumn("shard", shard).repartition(shards, "shard").mapInArrow(_merge_shards, "digest binary, keep_id long, group_size long, n_keep long")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS) -> DataFrame:
