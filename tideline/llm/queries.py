@@ -13,6 +13,7 @@ from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.order_minhash import near_classes
 from tideline.llm.packing import pack
+from tideline.llm.perspectives import rotate
 from tideline.llm.piece_codec import encode_decode
 from tideline.llm.pii import find_pii
 from tideline.llm.substring_dedup import remove_repeats
@@ -22,6 +23,12 @@ WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return seen.withColumn("mask", spans)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -57,6 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_token_counts": op2_token_counts,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_exact_dedup": op4_exact_dedup,
@@ -68,6 +76,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_perspective_rotation": """
+        WITH t AS (
+            SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') AS speaker,
+                   replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS said
+            FROM conversations
+        ), p AS (
+            SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
+        ), r AS (
+            SELECT p.conv_id, p.perspective, t.turn, t.speaker, t.said, t.speaker = p.perspective AS mine,
+                   CASE WHEN t.speaker = p.perspective THEN '<|assistant|>' WHEN t.speaker = 'system' THEN '<|system|>'
+                        ELSE '<|user name=' || t.speaker || '|>' END || chr(10) AS head
+            FROM p JOIN t ON t.conv_id = p.conv_id
+        ), o AS (
+            SELECT *, sum(length(head) + length(said)) OVER (
+                PARTITION BY conv_id, perspective ORDER BY turn, speaker, said
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+            FROM r
+        )
+        SELECT conv_id, perspective, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
+               string_agg(head || said, '' ORDER BY turn, speaker, said) AS rendered,
+               coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(stop - length(said) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ','
+                        ORDER BY turn, speaker, said), '') AS mask,
+               CAST(sum(CASE WHEN mine THEN length(said) ELSE 0 END) AS BIGINT) AS n_masked
+        FROM o GROUP BY conv_id, perspective
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
