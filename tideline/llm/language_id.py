@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,13 +195,21 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: s
     return narrow.mapInArrow(guess, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language: those predicted ``und`` are rejected."""
-    at = docs.columns.index(text)
+def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose text has a language: those without a letter (predicted ``und``) are rejected.
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, text, 1 << 20):
-            found, _ = model.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([c != "und" for c in found]))
+    A null ``lang`` becomes the predicted language; a given one stays.
+    """
+    at, label = docs.columns.index(text), docs.columns.index(lang)
 
-    return docs.mapInArrow(known, docs.schema)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, text, 1 << 20):
+            texts = batch.column(at).to_pylist()
+            found, _ = model.predict(texts)
+            given = batch.column(label)
+            filled = pc.if_else(pc.is_null(given), pa.array(found, given.type), given)
+            known = pa.array([bool(t and _LETTER.search(t)) for t in texts], pa.bool_())  # also where the model learned no language
+            batch = pa.record_batch([*batch.columns[:label], filled, *batch.columns[label + 1 :]], names=batch.schema.names)
+            yield batch.filter(known)
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tideline.llm import language_id
 from tideline.llm.common import table
 from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.image_copies import draw, find_copies
 from tideline.llm.order_minhash import near_classes
 from tideline.llm.packing import pack
 from tideline.llm.perspectives import rotate
@@ -45,6 +46,12 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), with_ids=False)
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every twentieth picture, sought among the pictures of all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return find_copies(draw(vectors.filter("vec_id % 20 = 0"), edited=True), draw(vectors, edited=False))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_piece_codec": op5_piece_codec,
+    "op6_image_copies": op6_image_copies,
     "op7_language_id": op7_language_id,
     "op8_order_minhash": op8_order_minhash,
     "op9_best_fit_packing": op9_best_fit_packing,
