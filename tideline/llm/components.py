@@ -1,4 +1,4 @@
-"""Connected components of a link table, by minimum labels and pointer jumping on Spark."""
+"""Connected components of a link table, by largest labels and pointer jumping on Spark."""
 
 from __future__ import annotations
 
@@ -9,20 +9,20 @@ from tideline.llm.common import stash
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links to (id, root): every linked id with the smallest id of its component.
+    """(a, b) links to (id, root): every linked id with the largest id of its component.
 
-    Each round takes the smallest label among neighbours and then the label's
+    Each round takes the largest label among neighbours and then the label's
     own label, and is written to the shared folder; rounds grow with the
-    logarithm of a component's diameter, about.  Minima are combined before
+    logarithm of a component's diameter, about.  Maxima are combined before
     each shuffle, so an id with very many links costs no more than its share.
     """
     both = stash(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stash(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("root")), "label")
+    label = stash(both.groupBy("a").agg(F.max("b").alias("top")).select(F.col("a").alias("id"), F.greatest("a", "top").alias("root")), "label")
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        new = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "seen").alias("next"))
+        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.max("seen").alias("seen"))
+        new = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.greatest("root", "seen").alias("next"))
         jump = label.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        new = stash(new.join(jump, "next").select("id", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")), "label")
+        new = stash(new.join(jump, "next").select("id", F.greatest("next", "far").alias("root"), (F.greatest("next", "far") != F.col("root")).alias("moved")), "label")
         label = new.select("id", "root")
         if new.filter("moved").isEmpty():
             return label

@@ -11,11 +11,11 @@ wide enough for that bound, so a verdict is exact for each candidate pair.
 
 Equal texts are represented by one of them from the sketches on.  Buckets of at
 most ``SMALL`` texts compare all pairs.  In a larger bucket every text is
-compared with the bucket's first one, and the bucket is refined by requiring
-further sketches.  Where the last refinement is still large, all pairs between
-the texts that its first one did not attract and the bucket's texts of other
-components are compared as well, so that no bucket drops a comparison that
-could still join two components.
+compared with the bucket's first one; if the bucket then still holds several
+components, it is refined by requiring further sketches to agree.  Where the
+last refinement is still large, all texts outside its largest component are
+compared with all texts of other components in it.  Pairs that are joined
+already are never compared: only the classes count.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 2
 SMALL = 12
-#: How many consecutive sketches must agree on each level of refinement.
+#: Sketches of the first round; how many consecutive sketches must agree on each level of refinement.
+FIRST = 4
 LEVELS = (1, 2, 4)
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -203,9 +204,9 @@ def sketch_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def _buckets(rows: DataFrame, level: int) -> DataFrame:
-    """(bucket, id, n_words) of each row's buckets: ``level`` sketches in a row must agree."""
-    key = lambda i: F.xxhash64(F.lit(i), F.lit(level), *[F.col("sketch")[(i + j) % SKETCHES] for j in range(level)])
-    return rows.select("id", "n_words", F.explode(F.array(*[key(i) for i in range(SKETCHES)])).alias("bucket"))
+    """(no, bucket, id, n_words): ``level`` sketches in a row, from sketch ``no`` on, must agree."""
+    key = lambda i: F.xxhash64(F.lit(i), *[F.col("sketch")[(i + j) % SKETCHES] for j in range(level)])
+    return rows.select("id", "n_words", F.posexplode(F.array(*[key(i) for i in range(SKETCHES)])).alias("no", "bucket"))
 
 
 def _comparable(a: str, b: str, least: float):
@@ -213,44 +214,62 @@ def _comparable(a: str, b: str, least: float):
     return F.abs(F.col(a) - F.col(b)) <= (1 - least) * F.greatest(a, b) + 1e-9
 
 
-def near_links(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(a, b, similarity) of near copies among ``reps`` (id, n_words, sketch); texts are read from ``docs`` by id."""
-    rows, pairs, crowded = reps.filter(F.size("sketch") > 0), [], None
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the buckets that hold texts of several components, with their roots, the bucket's size and its first text."""
+    named = members.join(label, "id")
+    counted = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_words", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return named.join(counted.filter("low < high").select("bucket", "n", "first"), "bucket").select("bucket", "id", "n_words", "root", "n", "first")
+
+
+def _pairs(mixed: DataFrame, small: int, least: float) -> DataFrame:
+    """Pairs (a, b) of different components: all of a small bucket, those with the first text of a larger one."""
+    few = mixed.filter(F.col("n") <= small).select("bucket", "id", "n_words", "root")
+    other = few.select("bucket", F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("root").alias("rb"))
+    close = few.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _comparable("n_words", "nb", least)).select(F.col("id").alias("a"), "b")
+    star = mixed.filter((F.col("n") > small) & (F.col("root") != F.col("first.root"))).withColumn("nb", F.col("first.n_words")).filter(_comparable("n_words", "nb", least))
+    return close.union(star.select(F.col("first.id").alias("a"), F.col("id").alias("b"))).distinct()
+
+
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links, which join whole components."""
+    roots = links.join(label.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+    merged = components(roots.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    return stash(label.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")), "label")
+
+
+def near_roots(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, root) for those ``reps`` (id, n_words, sketch) that share a bucket: the largest id that near-copy links join each to.
+
+    The texts of these are read once, as words.  The first round compares by a
+    few sketches, the second by all, the next within refined buckets; each
+    leaves out pairs that are joined already, which changes no component.
+    """
+    rows = reps.filter(F.size("sketch") > 0)
+    members = _buckets(rows, 1)
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
+    members = stash(members.join(shared, "bucket", "left_semi"), "members")
+    label = members.select("id").distinct().select("id", F.col("id").alias("root"))
+    words = stash(word_lists(label.select("id"), docs, text, doc_id), "words")
+    label = _relabel(label, verified(_pairs(_mixed(members.filter(F.col("no") < FIRST), label), small, least), words, least))
     for level in LEVELS:
-        if crowded is not None:
-            rows = stash(rows.join(crowded.select("id").distinct(), "id", "left_semi"), "crowded")
-            if rows.isEmpty():
-                break
-        members = _buckets(rows, level)
-        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_words")).alias("first")).filter("n > 1")
-        members = stash(members.join(counted, "bucket"), "members")
-        few = members.filter(F.col("n") <= small).select("bucket", "id", "n_words")
-        other = few.select("bucket", F.col("id").alias("b"), F.col("n_words").alias("nb"))
-        pairs.append(few.join(other, "bucket").filter((F.col("id") < F.col("b")) & _comparable("n_words", "nb", least)).select(F.col("id").alias("a"), "b"))
-        crowded = members.filter(F.col("n") > small)
-        star = crowded.filter(F.col("id") != F.col("first.id")).withColumn("nb", F.col("first.n_words")).filter(_comparable("n_words", "nb", least))
-        pairs.append(star.select(F.col("first.id").alias("a"), F.col("id").alias("b")))
-    pairs_of = pairs[0]
-    for more in pairs[1:]:
-        pairs_of = pairs_of.union(more)
-    tried = stash(pairs_of.distinct(), "pairs")
-    links = stash(verified(tried, docs, least, text, doc_id), "verified")
-    if crowded is None or crowded.isEmpty():
-        return links
-    root = components(links)
-    named = crowded.join(root, "id", "left").select("bucket", "id", "n_words", F.coalesce("root", "id").alias("root"), F.col("first.id").alias("first"))
-    head = named.filter(F.col("id") == F.col("first")).select("bucket", F.col("root").alias("main"))
-    apart = stash(named.join(head, "bucket").filter(F.col("root") != F.col("main")).select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n_words").alias("na")), "apart")
-    if apart.isEmpty():
-        return links
-    cross = apart.join(named, "bucket").filter((F.col("root") != F.col("ra")) & _comparable("na", "n_words", least)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return links.union(verified(cross.join(tried, ["a", "b"], "left_anti"), docs, least, text, doc_id))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Of the pairs (a, b) of ids those whose texts' edit similarity is at least ``least``: (a, b, similarity)."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.select(docs[doc_id].cast("long").alias("id"), text_or_empty(docs, text).alias("text")).join(ids, "id").dropDuplicates(["id"])
+        mixed = stash(_mixed(members, label), "mixed")
+        label = _relabel(label, verified(_pairs(mixed, small, least), words, least))
+        crowded = mixed.filter(F.col("n") > small).select("bucket", "id", "n_words").join(label, "id")
+        apart = crowded.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+        crowded = stash(crowded.join(apart, "bucket", "left_semi"), "crowded")
+        if crowded.isEmpty():
+            return label
+        if level != LEVELS[-1]:
+            members = _buckets(rows.join(crowded.select("id").distinct(), "id", "left_semi"), 2 * level)
+    sizes = crowded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    outside = crowded.join(sizes, "bucket").filter("root != main").select("bucket", F.col("id").alias("a"), F.col("n_words").alias("na"), F.col("root").alias("ra"))
+    cross = outside.join(crowded, "bucket").filter((F.col("root") != F.col("ra")) & _comparable("na", "n_words", least)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return _relabel(label, verified(cross, words, least))
+
+
+def word_lists(ids: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, words) of the documents with these ids: 32-bit hashes of their words in order, as bytes."""
+    wanted = docs.select(docs[doc_id].cast("long").alias("id"), text_or_empty(docs, text).alias("text")).join(ids, "id")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text", 1 << 20):
@@ -259,6 +278,12 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY, text:
             parts = [x.tobytes() for x in np.split(low, np.cumsum(counts)[:-1])]
             yield pa.record_batch([batch.column(0), pa.array(parts, pa.binary())], names=["id", "words"])
 
+    return wanted.mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
+
+
+def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b) those whose texts' edit similarity is at least ``least``: (a, b, similarity), written once."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -267,14 +292,13 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY, text:
             cols = list(zip(*got)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
 
-    table = stash(wanted.mapInArrow(words, "id long, words binary"), "words")
-    first = pairs.join(table.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    second = first.join(table.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return second.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long, similarity double")
+    first = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    second = first.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    return stash(second.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long, similarity double"), "verified")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, kept.
+    """One row per row of ``docs``: doc_id, class_id, kept.
 
     A class holds texts that are joined by near-copy links, and their exact
     copies; class_id is its largest doc_id, the document that stays.
@@ -283,20 +307,18 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
     copy of equal texts only; one of fewer than five words has all its words as
     one shingle, so it is found by texts with the same words in the same order;
     a row with a null doc_id is a class of its own, with class_id null, and
-    stays; repeated rows share a class and are all ``kept`` if theirs is the
-    largest doc_id; an empty table gives an empty result.  Other columns are not
-    read.
+    stays; rows that share a doc_id are joined by it, and are all ``kept`` if it
+    is the largest of their class; an empty table gives an empty result.  Other
+    columns are not read.
     """
     table = stash(sketch_table(docs, text, doc_id), "sketches")
     named = table.filter("doc_id is not null")
-    reps = named.groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select(F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
-    links = near_links(reps, docs, least, text=text, doc_id=doc_id)
-    root = components(links)
-    of = named.groupBy("digest").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    top = of.groupBy("root").agg(F.max("id").alias("class_id"), F.sum("n").alias("class_size"))
-    known = table.select("doc_id", "digest").join(of.select("digest", "root").join(top, "root").select("digest", "class_id", "class_size"), "digest", "left")
+    reps = named.groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select("digest", F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
+    root = near_roots(reps.select("id", "n_words", "sketch"), docs, least, text=text, doc_id=doc_id)
+    of = reps.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
     lone = F.col("doc_id").isNull()
-    return known.select("doc_id", F.when(~lone, F.col("class_id")).alias("class_id"), F.when(lone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), (lone | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
+    known = table.select("doc_id", "digest").join(of, "digest", "left")
+    return known.select("doc_id", F.when(~lone, F.col("class_id")).alias("class_id"), (lone | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
