@@ -1,4 +1,4 @@
-"""Connected components of a link table, by largest labels and pointer jumping on Spark."""
+"""Connected components of a link table, by contraction on Spark."""
 
 from __future__ import annotations
 
@@ -9,20 +9,25 @@ from tideline.llm.common import stash
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links to (id, root): every linked id with the largest id of its component.
+    """(a, b) links, a table read from storage, to (id, root): every linked id with the largest id of its component.
 
-    Each round takes the largest label among neighbours and then the label's
-    own label, and is written to the shared folder; rounds grow with the
-    logarithm of a component's diameter, about.  Maxima are combined before
-    each shuffle, so an id with very many links costs no more than its share.
+    Each round sends every id to its largest neighbour's largest neighbour, if
+    larger than itself, and replaces links by those between the targets; what
+    has come together drops out, so later rounds are small.  Maxima are combined
+    before the shuffle, so an id with very many links costs no more than its
+    share.
     """
-    both = stash(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    label = stash(both.groupBy("a").agg(F.max("b").alias("top")).select(F.col("a").alias("id"), F.greatest("a", "top").alias("root")), "label")
+    edges, label = links.select("a", "b").filter("a != b"), None
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("seen")), "b").groupBy("a").agg(F.max("seen").alias("seen"))
-        new = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.greatest("root", "seen").alias("next"))
-        jump = label.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        new = stash(new.join(jump, "next").select("id", F.greatest("next", "far").alias("root"), (F.greatest("next", "far") != F.col("root")).alias("moved")), "label")
-        label = new.select("id", "root")
-        if new.filter("moved").isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.max("b").alias("top")).select(F.col("a").alias("id"), F.greatest("a", "top").alias("up"))
+        up = stash(up, "up")
+        jump = stash(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", "far"), "jump")
+        if label is None:
+            label = jump.select("id", F.col("far").alias("root"))
+        else:
+            label = stash(label.join(jump.select(F.col("id").alias("root"), "far"), "root", "left").select("id", F.coalesce("far", "root").alias("root")), "label")
+        moved = edges.join(jump.select(F.col("id").alias("a"), F.col("far").alias("fa")), "a").join(jump.select(F.col("id").alias("b"), F.col("far").alias("fb")), "b")
+        edges = stash(moved.filter("fa != fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct(), "links")
+        if edges.isEmpty():
             return label

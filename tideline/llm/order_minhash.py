@@ -103,7 +103,7 @@ def labelled_kmers(hashes: np.ndarray, counts: np.ndarray, k: int = WORDS) -> tu
         order = part[np.argsort(key[part], kind="stable")]
         runs = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         nth = np.arange(len(order)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(order)]])))
-        out[order] = _mix(out[order] + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        out[order] = np.where(nth > 0, _mix(out[order] + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), out[order])
     return out, n
 
 
@@ -233,7 +233,10 @@ def _pairs(mixed: DataFrame, small: int, least: float) -> DataFrame:
 def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after further links, which join whole components."""
     roots = links.join(label.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-    merged = components(roots.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    apart = stash(roots.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "roots")
+    if apart.isEmpty():
+        return label
+    merged = components(apart)
     return stash(label.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")), "label")
 
 
