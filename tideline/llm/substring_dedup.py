@@ -41,7 +41,9 @@ from tideline.llm.common import byte_slices, stash, text_or_empty
 LENGTH = 200
 GRAM = 32
 CROWD = 2000
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
+#: Bytes of text a Python step works on at a time; its arrays take some 150 bytes for each.
+_STEP = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +103,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     """key, gram, body (hashes of anchor and bytes), at (packed start, starts, place of the anchor) of every segment."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text", 1 << 20):
+        for batch in byte_slices(batches, "text", _STEP):
             keys = batch.column(0).to_numpy()
             texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             begins = np.cumsum([0] + [len(t) for t in texts[:-1]])
@@ -169,7 +171,7 @@ def _sort_groups(length: int):
         for batch in batches:
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gram", "key", "first", "single", "bytes")]
             for row in zip(*cols):
-                if size > 1 << 20 and row[0] != rows[-1][0]:
+                if size > _STEP and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(row)
