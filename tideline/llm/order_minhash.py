@@ -9,13 +9,14 @@ their word-level edit similarity, 1 - distance / longer length, is at least
 ``SIMILARITY``; the distance comes from a bit-parallel alignment in a band just
 wide enough for that bound, so a verdict is exact for each candidate pair.
 
-Equal texts are represented by one of them from the sketches on.  Buckets of at
-most ``SMALL`` texts compare all pairs.  In a larger bucket every text is
-compared with the bucket's first one; if the bucket then still holds several
-components, it is refined by requiring further sketches to agree.  Where the
-last refinement is still large, all texts outside its largest component are
-compared with all texts of other components in it.  Pairs that are joined
-already are never compared: only the classes count.
+Equal texts are represented by one of them from the sketches on.  A first round
+takes a few sketches and compares every text of a bucket with its first one,
+which joins most of a large group.  From then on buckets of at most ``SMALL``
+texts compare all pairs, and a larger one that still holds several components
+is refined by requiring further sketches to agree.  Where the last refinement
+is still large, its texts are compared with its first one, and then all texts
+outside its largest component with all texts of other components in it.  Pairs
+that are joined already are never compared: only the classes count.
 """
 
 from __future__ import annotations
@@ -221,11 +222,13 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     return named.join(counted.filter("low < high").select("bucket", "n", "first"), "bucket").select("bucket", "id", "n_words", "root", "n", "first")
 
 
-def _pairs(mixed: DataFrame, small: int, least: float) -> DataFrame:
-    """Pairs (a, b) of different components: all of a small bucket, those with the first text of a larger one."""
+def _pairs(mixed: DataFrame, small: int, least: float, with_star: bool) -> DataFrame:
+    """Pairs (a, b) of different components: all of a small bucket; with ``with_star`` those with the first text of a larger one."""
     few = mixed.filter(F.col("n") <= small).select("bucket", "id", "n_words", "root")
     other = few.select("bucket", F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("root").alias("rb"))
     close = few.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _comparable("n_words", "nb", least)).select(F.col("id").alias("a"), "b")
+    if not with_star:
+        return close.distinct()
     star = mixed.filter((F.col("n") > small) & (F.col("root") != F.col("first.root"))).withColumn("nb", F.col("first.n_words")).filter(_comparable("n_words", "nb", least))
     return close.union(star.select(F.col("first.id").alias("a"), F.col("id").alias("b"))).distinct()
 
@@ -253,10 +256,10 @@ def near_roots(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, smal
     members = stash(members.join(shared, "bucket", "left_semi"), "members")
     label = members.select("id").distinct().select("id", F.col("id").alias("root"))
     words = stash(word_lists(label.select("id"), docs, text, doc_id), "words")
-    label = _relabel(label, verified(_pairs(_mixed(members.filter(F.col("no") < FIRST), label), small, least), words, least))
+    label = _relabel(label, verified(_pairs(_mixed(members.filter(F.col("no") < FIRST), label), small, least, True), words, least))
     for level in LEVELS:
         mixed = stash(_mixed(members, label), "mixed")
-        label = _relabel(label, verified(_pairs(mixed, small, least), words, least))
+        label = _relabel(label, verified(_pairs(mixed, small, least, level == LEVELS[-1]), words, least))
         crowded = mixed.filter(F.col("n") > small).select("bucket", "id", "n_words").join(label, "id")
         apart = crowded.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
         crowded = stash(crowded.join(apart, "bucket", "left_semi"), "crowded")
