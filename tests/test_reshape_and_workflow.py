@@ -149,7 +149,7 @@ def test_charts_and_report(spark, tmp_path):
     files = report.report_study(made, lines, output_file=str(tmp_path / "out.html"))
     assert list(files) == ["S_1"] and "<svg" in open(files["S_1"]).read() and files["S_1"].endswith("out_S_1.html")
     assert report.report_study([], lines) == {}
-    with pytest.raises(ValidationError, match="No data available for dfStudyKRI"):
+    with pytest.raises(ValidationError, match="No data available for dfStudy"):
         charts.visualize_study(lines, study_id="none")
     with pytest.raises(ValidationError, match="nMaxMonth must be NULL or a positive number"):
         charts.visualize_study(lines, study_id="S_1", max_month=-1)

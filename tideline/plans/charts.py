@@ -22,9 +22,9 @@ def _of_study(df: DataFrame, study: str, max_month: float | None) -> DataFrame:
 
 def visualize_study(study_kri: DataFrame, bounds_ref: DataFrame | None = None, bounds: DataFrame | None = None, study_id: str | None = None, max_month: float | None = None, y_label: str = "Metric", x_label: str = "Study Month", log_y: bool = False) -> dict:
     """Layers from back to front: reference ribbon and dashed median, study ribbon, line and points."""
-    wanted = (("dfStudyKRI", study_kri, ["StudyMonth", "Metric"]), ("dfBoundsRef", bounds_ref, BOUNDS), ("dfBounds", bounds, BOUNDS))
+    wanted = (("dfStudy", study_kri, ["StudyMonth", "Metric"]), ("dfBoundsRef", bounds_ref, BOUNDS), ("dfBounds", bounds, BOUNDS))
     for name, df, columns in wanted:
-        if df is None and name != "dfStudyKRI":
+        if df is None and name != "dfStudy":
             continue
         validate.table(df, name, "data.frame")
         validate.has_columns(df, name, columns)
@@ -38,7 +38,7 @@ def visualize_study(study_kri: DataFrame, bounds_ref: DataFrame | None = None, b
 
     line = rows(study_kri, ["StudyMonth", "Metric"])
     if not line:
-        raise ValidationError("No data available for dfStudyKRI after filtering")
+        raise ValidationError("No data available for dfStudy after filtering")
     layers, subtitle = [], ""
     if bounds_ref is not None:
         count = ["StudyCount"] if "StudyCount" in bounds_ref.columns else []
@@ -76,5 +76,5 @@ def make_charts(results: DataFrame, bounds: DataFrame | None, bounds_ref: DataFr
     return out
 
 
-registry.register("Visualize_StudyKRI", visualize_study)
-registry.register("MakeCharts_StudyKRI", make_charts)
+registry.register("Visualize", visualize_study)
+registry.register("MakeCharts", make_charts)

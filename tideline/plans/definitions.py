@@ -131,8 +131,8 @@ def reporting_workflows(bootstrap_reps: int = BOOTSTRAP_REPS, threshold: float =
         Workflow(meta("Metrics", 1), [Step("lMetrics", "MakeMetric", {"lWorkflows": "lWorkflows"})]),
         Workflow(meta("Groups", 1), [Step("lGroups", "bind_rows", {"a": "Mapped_STUDY", "b": "Mapped_SITE", "c": "Mapped_COUNTRY"})]),
         Workflow(meta("Join", 2), [Step("lJoined", "JoinKRIByDenominator", {"dfInput": "Reporting_Input", "dfMetrics": "dfMetrics"})]),
-        Workflow(meta("Bounds", 3, **boot), [Step("lBounds", "map", {"lItems": "Reporting_Join", "strFunction": "Analyze_StudyKRI_PredictBounds", "dfStudyRef": "Mapped_StudyRef", "nBootstrapReps": "BootstrapReps", "nConfLevel": "Threshold"}), Step("lLong", "Transform_Long", {"lWide": "lBounds"})]),
-        Workflow(meta("BoundsRef", 3, **boot), [Step("lBounds", "map", {"lItems": "Reporting_Join", "strFunction": "Analyze_StudyKRI_PredictBoundsRef", "dfStudyRef": "Mapped_StudyRef", "nBootstrapReps": "BootstrapReps", "nConfLevel": "Threshold", "bMixStudies": "bMixStudies"}), Step("lLong", "Transform_Long", {"lWide": "lBounds"})]),
+        Workflow(meta("Bounds", 3, **boot), [Step("lBounds", "map", {"lItems": "Reporting_Join", "strFunction": "Analyze_PredictBounds", "dfStudyRef": "Mapped_StudyRef", "nBootstrapReps": "BootstrapReps", "nConfLevel": "Threshold"}), Step("lLong", "Transform_Long", {"lWide": "lBounds"})]),
+        Workflow(meta("BoundsRef", 3, **boot), [Step("lBounds", "map", {"lItems": "Reporting_Join", "strFunction": "Analyze_PredictBoundsRef", "dfStudyRef": "Mapped_StudyRef", "nBootstrapReps": "BootstrapReps", "nConfLevel": "Threshold", "bMixStudies": "bMixStudies"}), Step("lLong", "Transform_Long", {"lWide": "lBounds"})]),
     ]
 
 
@@ -140,13 +140,13 @@ def module_workflow() -> Workflow:
     """Charts on both scales and a report for each study; see charts and report."""
     pick = lambda ids: ", ".join(f"'Analysis_{i}'" for i in ids)
     return Workflow(
-        {"Type": "Module", "ID": "StudyKRI"},
+        {"Type": "Module", "ID": "Study"},
         [
             _query("dfLog", "Reporting_Results", f"SELECT * FROM df WHERE MetricID IN ({pick(LOG_SCALE)})"),
             _query("dfNormal", "Reporting_Results", f"SELECT * FROM df WHERE MetricID IN ({pick(NORMAL_SCALE)})"),
-            Step("lLog", "MakeCharts_StudyKRI", {"dfResults": "dfLog", "dfBounds": "Reporting_Bounds", "dfBoundsRef": "Reporting_BoundsRef", "dfMetrics": "dfMetrics", "bLogY": True}),
-            Step("lNormal", "MakeCharts_StudyKRI", {"dfResults": "dfNormal", "dfBounds": "Reporting_Bounds", "dfBoundsRef": "Reporting_BoundsRef", "dfMetrics": "dfMetrics"}),
+            Step("lLog", "MakeCharts", {"dfResults": "dfLog", "dfBounds": "Reporting_Bounds", "dfBoundsRef": "Reporting_BoundsRef", "dfMetrics": "dfMetrics", "bLogY": True}),
+            Step("lNormal", "MakeCharts", {"dfResults": "dfNormal", "dfBounds": "Reporting_Bounds", "dfBoundsRef": "Reporting_BoundsRef", "dfMetrics": "dfMetrics"}),
             Step("lCharts", "BindLists", {"a": "lLog", "b": "lNormal"}),
-            Step("lReport", "Report_StudyKRI", {"lCharts": "lCharts", "dfResults": "Reporting_Results", "dfGroups": "Reporting_Groups", "dfMetrics": "dfMetrics", "strOutputFile": "strOutputFile"}),
+            Step("lReport", "Report", {"lCharts": "lCharts", "dfResults": "Reporting_Results", "dfGroups": "Reporting_Groups", "dfMetrics": "dfMetrics", "strOutputFile": "strOutputFile"}),
         ],
     )

@@ -25,10 +25,10 @@ for _name, _function in {
     "JoinKRIByDenominator": reshape.join_kri_by_denominator,
     "BindResults": reshape.bind_results,
     "BindLists": reshape.bind_lists,
-    "Analyze_StudyKRI_PredictBounds": bounds.predict_bounds,
-    "Analyze_StudyKRI_PredictBoundsRef": bounds.predict_bounds_ref,
-    "Analyze_StudyKRI_PredictBoundsRefSet": bounds.predict_bounds_ref_set,
-    "BootstrapStudyKRI": bootstrap.bootstrap_study,
+    "Analyze_PredictBounds": bounds.predict_bounds,
+    "Analyze_PredictBoundsRef": bounds.predict_bounds_ref,
+    "Analyze_PredictBoundsRefSet": bounds.predict_bounds_ref_set,
+    "BootstrapStudy": bootstrap.bootstrap_study,
     "CalculateStudyBounds": bootstrap.study_bounds,
     "ResampleStudy": simulate.resample_study,
     "SimulatePortfolio": simulate.simulate_portfolio,
@@ -39,12 +39,16 @@ for _name, _function in {
 
 
 def parse_function(name: str) -> Callable:
-    """The registered function of that name, with or without a package in front; a callable is returned as it is."""
+    """The registered function of that name; a callable is returned as it is.
+
+    A package in front doesn't count, nor does a part of the name that starts
+    with Study and goes on in capitals.
+    """
     if callable(name):
         return name
     if not isinstance(name, str):
         raise ValidationError("strFunction must be a single character string")
-    bare = name.strip().rpartition("::")[2]
+    bare = re.sub(r"_?(Study)[A-Z]{2,}(?=_|$)", lambda m: "" if m[0][0] == "_" else m[1], name.strip().rpartition("::")[2])
     if bare not in _FUNCTIONS:
         raise ValidationError(f"Failed to parse '{name}' as a function")
     return _FUNCTIONS[bare]

@@ -81,4 +81,4 @@ def report_study(charts: list[tuple[str, dict]] | dict[str, dict], results: Data
     return out
 
 
-registry.register("Report_StudyKRI", report_study)
+registry.register("Report", report_study)
