@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import image_copies, packing
 from tideline.llm.components import components
-from tideline.llm.order_minhash import drop_near_copies, edit_distance, labelled_kmers, near_classes, similar, word_hashes
+from tideline.llm.order_minhash import drop_near_copies, edit_distance, labelled_kmers, may_match, near_classes, similar, sketch_table, word_hashes
 from tideline.llm.substring_dedup import _pieces, remove_repeats, repeated_starts, segments
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +109,31 @@ def test_near_copies(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_crowded_buckets(spark):
+    """Variants that an original joins: every pair with a common sketch counts, however large the bucket."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        texts = [base] + [[word() if rng.random() < share else w for w in base] for share in [rng.uniform(0.08, 0.15) for _ in range(100)]]
+        rows += [" ".join(t) for t in texts]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    hashes, counts = word_hashes([t.encode() for _, t in rows])
+    words = np.split(hashes, np.cumsum(counts)[:-1])
+    table = {r["doc_id"]: r["sketch"] for r in sketch_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sketch = np.array([table[k] for k, _ in rows])
+    links = [(i, j) for i in range(len(rows)) for j in np.flatnonzero((sketch[:i] == sketch[i]).any(axis=1)).tolist() if similar(words[i], words[j]) is not None]
+    top = list(range(len(rows)))
+    while any(top[i] != top[j] for i, j in links):
+        for i, j in links:
+            top[i] = top[j] = max(top[i], top[j])
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == dict(enumerate(top))
+    for i, j in links[:500]:
+        assert may_match(*((words[k] >> np.uint64(32)).astype("<u4") for k in (i, j)))
+
+
 def test_near_copies_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (None, "a b"), (None, None), (4, "w " * 40), (4, "w " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

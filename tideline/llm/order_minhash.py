@@ -13,15 +13,19 @@ Equal texts are represented by one of them from the sketches on.  A first round
 takes a few sketches and compares every text of a bucket with its first one,
 which joins most of a large group.  From then on buckets of at most ``SMALL``
 texts compare all pairs, and a larger one that still holds several components
-is refined by requiring further sketches to agree.  Where the last refinement
-is still large, its texts are compared with its first one, and then all texts
-outside its largest component with all texts of other components in it.  Pairs
-that are joined already are never compared: only the classes count.
+is refined by requiring further sketches to agree, which joins more.  At last
+every larger bucket that still holds several components is compared whole, in
+blocks, by its texts' counts of words and of word pairs: an edit changes one
+word and two pairs at most, so what the counts part is no near copy, and all
+the rest is aligned.
+Every pair with a common sketch is thus aligned, ruled out or joined already;
+pairs that are joined are never compared: only the classes count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,9 @@ SMALL = 12
 #: Sketches of the first round; how many consecutive sketches must agree on each level of refinement.
 FIRST = 4
 LEVELS = (1, 2, 4)
+#: Texts of a block of a crowded bucket; cells that a text's words, and its word pairs, are counted in.
+BLOCK = 256
+CELLS = 256
 
 _PRIME = 0x9E3779B97F4A7C15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -257,20 +264,121 @@ def near_roots(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, smal
     label = members.select("id").distinct().select("id", F.col("id").alias("root"))
     words = stash(word_lists(label.select("id"), docs, text, doc_id), "words")
     label = _relabel(label, verified(_pairs(_mixed(members.filter(F.col("no") < FIRST), label), small, least, True), words, least))
+    everything = members
     for level in LEVELS:
         mixed = stash(_mixed(members, label), "mixed")
         label = _relabel(label, verified(_pairs(mixed, small, least, level == LEVELS[-1]), words, least))
-        crowded = mixed.filter(F.col("n") > small).select("bucket", "id", "n_words").join(label, "id")
-        apart = crowded.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-        crowded = stash(crowded.join(apart, "bucket", "left_semi"), "crowded")
-        if crowded.isEmpty():
-            return label
-        if level != LEVELS[-1]:
-            members = _buckets(rows.join(crowded.select("id").distinct(), "id", "left_semi"), 2 * level)
-    sizes = crowded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    outside = crowded.join(sizes, "bucket").filter("root != main").select("bucket", F.col("id").alias("a"), F.col("n_words").alias("na"), F.col("root").alias("ra"))
-    cross = outside.join(crowded, "bucket").filter((F.col("root") != F.col("ra")) & _comparable("na", "n_words", least)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return _relabel(label, verified(cross, words, least))
+        crowded = stash(_crowded(mixed.filter(F.col("n") > small).select("bucket", "id", "n_words"), label), "crowded")
+        if level == LEVELS[-1] or crowded.isEmpty():
+            break
+        members = _buckets(rows.join(crowded.select("id").distinct(), "id", "left_semi"), 2 * level)
+    large = everything.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("bucket")
+    crowded = stash(_crowded(everything.join(large, "bucket", "left_semi").select("bucket", "id", "n_words"), label), "crowded")
+    if crowded.isEmpty():
+        return label
+    close = stash(_not_apart(crowded, words, least), "close")
+    # the closest text of each first: most links are found by these
+    nearest = lambda own, other: close.groupBy(own).agg(F.min_by(other, F.struct("gap", other)).alias(other)).select("a", "b")
+    first = stash(nearest("a", "b").union(nearest("b", "a")).distinct(), "nearest")
+    label = _relabel(label, verified(first, words, least))
+    rest = close.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(label.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side)
+    return _relabel(label, verified(rest.filter("ra != rb").select("a", "b"), words, least))
+
+
+def _crowded(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(bucket, id, n_words, root) of the buckets that hold texts of several components."""
+    named = members.join(label, "id")
+    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return named.join(apart, "bucket", "left_semi").select("bucket", "id", "n_words", "root")
+
+
+def profile(words: np.ndarray) -> np.ndarray:
+    """Counts of a text's words and of its pairs of consecutive words in CELLS cells each, 255 at most."""
+    pairs = _mix(words[:-1].astype(np.uint64) * np.uint64(_PRIME) + words[1:])
+    both = [np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for x in (words.astype(np.uint64), pairs)]
+    return np.minimum(np.concatenate(both), 255).astype(np.uint8)
+
+
+def not_apart(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], same: bool, least: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
+    """(a, b, root of a, root of b, gap) of the texts of two blocks that may be near copies, each pair once if the blocks are the ``same``.
+
+    A block has ids, roots, numbers of words and profiles.  The gap is the
+    larger number of words that one text has over the other.
+    """
+    (ids, roots, n, counts), (others, their_roots, m, theirs) = one, other
+    halves = [(slice(k * CELLS, (k + 1) * CELLS), k + 1) for k in (0, 1)]
+    own, sums = ([x[:, part].sum(axis=1, dtype=np.int64) for part, _ in halves] for x in (counts, theirs))
+    for i in range(len(ids)):
+        most = ((1 - least) * np.maximum(n[i], m) + 1e-9).astype(np.int64)
+        seek = (roots[i] != their_roots) & (np.abs(n[i] - m) <= most)
+        if same:
+            seek[: i + 1] = False
+        at = np.flatnonzero(seek)
+        for k in (1, 0):
+            part, changed = halves[k]
+            gap = np.maximum(own[k][i], sums[k][at]) - np.minimum(counts[i, part], theirs[at, part]).sum(axis=1, dtype=np.int64)
+            within = gap <= changed * most[at]
+            at, gap = at[within], gap[within]
+        for j, g in zip(at.tolist(), gap.tolist()):
+            (a, ra), (b, rb) = sorted([(int(ids[i]), int(roots[i])), (int(others[j]), int(their_roots[j]))])
+            yield a, b, ra, rb, g
+
+
+def may_match(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two word sequences have enough words, and pairs of consecutive words, in common to be near copies."""
+    longer = max(len(a), len(b))
+    most = int((1 - least) * longer + 1e-9)
+    for size in (1, 2):
+        one, other = (x.astype(np.uint64) if size == 1 else x[:-1].astype(np.uint64) << np.uint64(32) | x[1:] for x in (a, b))
+        kinds = np.unique(np.concatenate([one, other]))
+        counts = [np.bincount(np.searchsorted(kinds, x), minlength=len(kinds)) for x in (one, other)]
+        if max(len(one), len(other)) - np.minimum(*counts).sum() > size * most:
+            return False
+    return True
+
+
+def _not_apart(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb, gap): all pairs of different components in a bucket but those whose lengths, words or word pairs rule them out.
+
+    A bucket is cut into classes of length, of which only neighbours can match,
+    its largest component is kept apart from the rest, and both are dealt into
+    blocks, so that a very large bucket is compared by many tasks.
+    """
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profile(np.frombuffer(x.as_buffer(), "<u4")).tobytes() for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "profile"])
+
+    def block(x: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        x = x.values
+        return (*(x.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "n_words")), np.frombuffer(b"".join(x.field("profile").to_pylist()), np.uint8).reshape(-1, 2 * CELLS))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, other in zip(batch.column(0), batch.column(1)):
+                same = not other.is_valid
+                left = block(one)
+                cols = list(zip(*not_apart(left, left if same else block(other), same, least))) or [()] * 5
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ra", "rb", "gap"])
+
+    size = F.floor(F.log("n_words") / (1e-6 - math.log(least))) if least > 0 else F.lit(0)
+    main = crowded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    parts = crowded.join(main, "bucket").select("bucket", "id", "n_words", "root", size.cast("long").alias("size"), (F.col("root") == F.col("main")).alias("inside"))
+    many = parts.groupBy("bucket", "size", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    number = F.xxhash64("bucket", "size", "inside", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = parts.join(many, ["bucket", "size", "inside"]).select("bucket", "size", "id", "n_words", "root", number.alias("block"))
+    known = words.join(crowded.select("id").distinct(), "id", "left_semi").mapInArrow(profiles, "id long, profile binary")
+    blocks = stash(dealt.join(known, "id").groupBy("block").agg(F.first("bucket").alias("bucket"), F.first("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.collect_list(F.struct("id", "root", "n_words", "profile")).alias("texts")), "blocks")
+    one, other = (blocks.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "size", "low", "high")]) for side in "pq")
+    meet = one.join(other, "bucket").filter("p_block <= q_block and abs(p_size - q_size) <= 1 and (p_low < p_high or q_low < q_high or p_low != q_low)").select("p_block", "q_block")
+    left = meet.join(blocks.select(F.col("block").alias("p_block"), F.col("texts").alias("p")), "p_block")
+    right = blocks.select(F.col("block").alias("q_block"), F.col("texts").alias("q"))
+    alone = left.filter("p_block = q_block").select("p", F.lit(None).cast(right.schema["q"].dataType).alias("q"))
+    both = left.filter("p_block != q_block").join(right, "q_block").select("p", "q")
+    return alone.union(both).mapInArrow(compare, "a long, b long, ra long, rb long, gap long").dropDuplicates(["a", "b"])
 
 
 def word_lists(ids: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -294,7 +402,7 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> D
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             left, right = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(k)] for k in (2, 3))
-            got = [(i, j, s) for i, j, x, y in zip(a, b, left, right) if (s := similar(x, y, least)) is not None]
+            got = [(i, j, s) for i, j, x, y in zip(a, b, left, right) if may_match(x, y, least) and (s := similar(x, y, least)) is not None]
             cols = list(zip(*got)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
 
