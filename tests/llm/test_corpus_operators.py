@@ -134,6 +134,22 @@ def test_crowded_buckets(spark):
         assert may_match(*((words[k] >> np.uint64(32)).astype("<u4") for k in (i, j)))
 
 
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.96), (0.82, 0.97), (0.85, 0.99), (0.9, 0.99)])
+def test_sketch_recall(spark, similarity, least):
+    """Pairs of just that similarity, in changed words, share a sketch."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(200):
+        a = rng.integers(0, 1 << 40, 400)
+        b = a.copy()
+        at = rng.permutation(400)[: int((1 - similarity) * 400 + 1e-9)]
+        b[at] = rng.integers(0, 1 << 40, len(at))
+        rows += [(2 * k, " ".join(map(str, a))), (2 * k + 1, " ".join(map(str, b)))]
+    got = sketch_table(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "sketch").collect()
+    sketch = np.array([r["sketch"] for r in sorted(got)])
+    assert (sketch[::2] == sketch[1::2]).any(axis=1).mean() >= least
+
+
 def test_near_copies_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (None, "a b"), (None, None), (4, "w " * 40), (4, "w " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

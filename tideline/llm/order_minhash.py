@@ -1,6 +1,6 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-The k-mers are runs of five words, each labelled with its occurrence number in
+The k-mers are runs of three words, each labelled with its occurrence number in
 its text.  A sketch takes the ``TAKEN`` smallest labelled k-mers under one hash
 function and keeps them in text order, so it agrees with a probability that
 falls with the edit distance, not only with the shared set.  Two texts are
@@ -37,6 +37,8 @@ from tideline.llm.common import byte_slices, stash, text_or_empty
 from tideline.llm.components import components
 
 WORDS = 5
+#: Words of the k-mers that sketches take: five are too many for pairs near the bound.
+CANDIDATE_WORDS = 3
 SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 2
@@ -201,7 +203,7 @@ def sketch_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         for batch in byte_slices(batches, "text", 1 << 20):
             raw = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             hashes, counts = word_hashes(raw)
-            kmers, n = labelled_kmers(hashes, counts)
+            kmers, n = labelled_kmers(hashes, counts, CANDIDATE_WORDS)
             found = sketches(kmers, n).view(np.int64) if len(kmers) else np.zeros((0, SKETCHES), np.int64)
             offsets = np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]).astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
@@ -418,7 +420,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
     copies; class_id is its largest doc_id, the document that stays.
 
     Defined cases: a null text counts as empty; a text without words is a near
-    copy of equal texts only; one of fewer than five words has all its words as
+    copy of equal texts only; one of fewer than three words has all its words as
     one shingle, so it is found by texts with the same words in the same order;
     a row with a null doc_id is a class of its own, with class_id null, and
     stays; rows that share a doc_id are joined by it, and are all ``kept`` if it
