@@ -97,6 +97,12 @@ def test_resample(raw):
     assert exact.count() == 20
     sites = simulate.resample_study(raw, "T1", 30, target_site_count=3)["Raw_SUBJ"].select("invid").distinct().collect()
     assert {r[0] for r in sites} <= {"T1_1", "T1_2", "T1_3"}
+    site = raw["Raw_SUBJ"].sparkSession.createDataFrame([(f"i{k}", "OLD", f"City {k}", str(k)) for k in range(5)], "invid string, studyid string, city string, site_num string")
+    both = simulate.resample_study({**raw, "Raw_SITE": site}, "T1", 30, target_site_count=3)
+    assert {r["invid"] for r in both["Raw_SITE"].collect()} == {r["invid"] for r in both["Raw_SUBJ"].collect()} <= {"T1_1", "T1_2", "T1_3"}
+    assert all(r["studyid"] == "T1" and r["city"].startswith("City ") and r["invid"] == f"T1_{r['site_num']}" for r in both["Raw_SITE"].collect())
+    kept = simulate.resample_study({**raw, "Raw_SITE": site}, "T2", 30)
+    assert {r["invid"] for r in kept["Raw_SUBJ"].collect()} <= {r["invid"] for r in kept["Raw_SITE"].collect()} <= {f"T2_i{k}" for k in range(5)}
     with pytest.raises(ValidationError, match="Cannot sample 99 subjects without replacement from 45 available subjects"):
         simulate.resample_study(raw, "NEW", 99, replacement=False)
 
@@ -131,9 +137,9 @@ def test_workflows(spark):
     assert last["Numerator"] == 10 and last["Denominator"] == 12 * 181
     refs = {"Mapped_StudyRef": spark.createDataFrame([("S1", "S1")], "study string, studyref string")}
     metrics = workflow.make_metric(flows)
-    frame = spark.createDataFrame([(m["MetricID"], m["Metric"], m["Denominator"], float(m["AccrualThreshold"])) for m in metrics], "MetricID string, Metric string, Denominator string, AccrualThreshold double")
+    assert [(r["MetricID"], r["Metric"], r["AccrualThreshold"]) for r in metrics.collect()] == [("Analysis_kri0001", "Adverse Event Rate per Days on Study", 5.0), ("Analysis_kri0002", "Serious Adverse Event Rate per Days on Study", 5.0)]
     reporting = [w for w in definitions.reporting_workflows(bootstrap_reps=5) if w.meta["ID"] != "Groups"]
-    out = workflow.run_workflows(reporting, {**mapped, **refs, "lAnalyzed": analyzed, "lWorkflows": flows, "dfMetrics": frame})
+    out = workflow.run_workflows(reporting, {**mapped, **refs, "lAnalyzed": analyzed, "lWorkflows": flows})
     assert {r["MetricID"] for r in out["Reporting_Bounds"].select("MetricID").distinct().collect()} == {"Analysis_kri0001", "Analysis_kri0002"}
     made = charts.make_charts(out["Reporting_Results"], out["Reporting_Bounds"], out["Reporting_BoundsRef"], metrics, max_month=6)
     assert [n for n, _ in made] == ["S1_Analysis_kri0001", "S1_Analysis_kri0002"]
@@ -149,7 +155,7 @@ def test_charts_and_report(spark, tmp_path):
     files = report.report_study(made, lines, output_file=str(tmp_path / "out.html"))
     assert list(files) == ["S_1"] and "<svg" in open(files["S_1"]).read() and files["S_1"].endswith("out_S_1.html")
     assert report.report_study([], lines) == {}
-    with pytest.raises(ValidationError, match="No data available for dfStudy"):
+    with pytest.raises(ValidationError, match="No data available for study_kri"):
         charts.visualize_study(lines, study_id="none")
     with pytest.raises(ValidationError, match="nMaxMonth must be NULL or a positive number"):
         charts.visualize_study(lines, study_id="S_1", max_month=-1)

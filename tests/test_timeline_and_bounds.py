@@ -106,7 +106,7 @@ def test_reference_targets(spark, three):
         warnings.simplefilter("always")
         out = bounds.predict_bounds_ref(three, ref, 10).collect()
     assert any("Skipping study 'Y': none of its reference studies found in data." in str(w.message) for w in seen)
-    assert {(r["StudyID"], r["StudyRefID"], r["StudyCount"], r["GroupCount"]) for r in out} == {("X", "A, B", 2, 8)}
+    assert {(r["StudyID"], r["StudyRefID"], r["StudyCount"], r["GroupCount"]) for r in out} == {("X", "B, A", 2, 8)}
     fixed = spark.createDataFrame([("X", "A", 3), ("X", "B", 3)], "study string, studyref string, MinGroups int")
     assert {r["GroupCount"] for r in bounds.predict_bounds_ref(three, fixed, 5).collect()} == {3}
     uneven = spark.createDataFrame([("X", "A", 3), ("X", "B", 4)], "study string, studyref string, MinGroups int")

@@ -17,6 +17,9 @@ from tideline.operators.validate import ValidationError
 
 log = logging.getLogger(__name__)
 
+#: Replicates up to which a caller's table of them is broadcast.
+REPLICATES = 100_000
+
 
 def group_numbers(input: DataFrame, study_col: str = "StudyID", group_col: str = "GroupID") -> DataFrame:
     """study, group, GroupNumber (1 .. n in the order of names), ActualGroupCount."""
@@ -28,7 +31,8 @@ def group_numbers(input: DataFrame, study_col: str = "StudyID", group_col: str =
 def with_replicates(df: DataFrame, bootstrap_reps: int, replicates: DataFrame | None) -> DataFrame:
     """Each row once per replicate; a replicate table takes the place of 1 .. bootstrap_reps."""
     if replicates is not None:
-        return df.crossJoin(F.broadcast(replicates.select(F.col("BootstrapRep").cast("int").alias("BootstrapRep")).distinct()))
+        numbers = replicates.select(F.col("BootstrapRep").cast("int").alias("BootstrapRep")).distinct()
+        return df.crossJoin(F.broadcast(numbers) if numbers.limit(REPLICATES + 1).count() <= REPLICATES else numbers)
     return df.withColumn("BootstrapRep", F.explode(F.sequence(F.lit(1), F.lit(int(bootstrap_reps)))))
 
 

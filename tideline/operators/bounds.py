@@ -50,7 +50,8 @@ def predict_bounds(input: DataFrame, study_ref: DataFrame | None = None, bootstr
             raise ValidationError("No target studies found in dfStudyRef")
         input = input.join(targets, study_col, "left_semi")
     else:
-        log.info("Using all studies found in dfInput")
+        if log.isEnabledFor(logging.INFO):
+            log.info("Using all %d studies found in dfInput", input.select(study_col).distinct().count())
     timeline = bootstrap_timeline(input, bootstrap_reps, month_sequence, study_col, group_col, bootstrap_table, seed, method, as_of)
     if study_month_col != "StudyMonth":
         timeline = timeline.withColumnRenamed("StudyMonth", study_month_col)
@@ -105,6 +106,11 @@ def predict_bounds_ref_set(input: DataFrame, study_filter: list[str] | None = No
     validate.positive_int(min_groups, "nMinGroups must be a single positive integer", optional=True)
     chosen = input if study_filter is None else input.filter(F.col(study_col).isin(study_filter))
     sizes = chosen.groupBy(study_col).agg(F.countDistinct(group_col).alias("_n"))
+    if log.isEnabledFor(logging.INFO):
+        found = sizes.agg(F.count(F.lit(1)), F.min("_n")).first()
+        if study_filter is None:
+            log.info("No vStudyFilter specified. Using all %d studies.", found[0])
+        log.info("Calculated minimum group count: %d" if min_groups is None else "Using provided minimum group count: %d", found[1] or 0 if min_groups is None else min_groups)
     pairs = sizes.select(F.lit("").alias("_target"), F.col(study_col).alias("_ref"), "_n")
     every = Window.partitionBy("_target")
     least = F.lit(int(min_groups)).cast("long") if min_groups is not None else F.min("_n").over(every)
@@ -118,15 +124,15 @@ def predict_bounds_ref_set(input: DataFrame, study_filter: list[str] | None = No
 
 
 def input_context(input: DataFrame) -> str:
-    """What a warning says about an input: its KRIs and its denominator types."""
-    parts = []
+    """What a warning says about an input: its KRIs and its denominator types, of which there are as many as kinds of exposure."""
+    out = ""
     kris = [c.removeprefix("Numerator_") for c in input.columns if c.startswith("Numerator_")]
     if kris:
-        parts.append(f"KRIs: {', '.join(kris)}")
+        out += f" KRI: {', '.join(kris)}."
     if "DenominatorType" in input.columns:
-        types = sorted(r[0] for r in input.select("DenominatorType").distinct().limit(20).collect() if r[0] is not None)
-        parts.append(f"Denominator: {', '.join(types)}")
-    return f" ({'; '.join(parts)})" if parts else ""
+        types = sorted(str(r[0]) for r in input.select("DenominatorType").distinct().collect() if r[0] is not None)
+        out += f" DenominatorType: {', '.join(types)}."
+    return out
 
 
 def predict_bounds_ref(input: DataFrame, study_ref: DataFrame, bootstrap_reps: int = 1000, conf_level: float = 0.95, study_col: str = "StudyID", group_col: str = "GroupID", study_month_col: str = "StudyMonth", min_groups_col: str = "MinGroups", mix_studies: bool = False, bootstrap_table: DataFrame | None = None, month_sequence: DataFrame | None = None, compute: Callable[[DataFrame], DataFrame] | None = None, seed: int = 0, method: str = "xxhash64", as_of: dt.date | str | None = None, warn: bool = True) -> DataFrame:
@@ -135,12 +141,13 @@ def predict_bounds_ref(input: DataFrame, study_ref: DataFrame, bootstrap_reps: i
     ``study_ref`` gives target and reference by position.  References without
     data are left out; a target without any is skipped, with a warning.  All
     targets are one plan, with draws of their own each.  StudyRefID lists the
-    references that have data by name.
+    references that have data in the order of ``study_ref``'s rows.  MinGroups
+    must not differ between the references of a target.
     """
     validate.table(input, "dfInput")
     validate.table(study_ref, "dfStudyRef")
     if len(study_ref.columns) < 2:
-        raise ValidationError("dfStudyRef must have at least 2 columns (study and reference study)")
+        raise ValidationError("dfStudyRef must have at least 2 columns (target study in column 1, reference study in column 2)")
     if compute is not None and not callable(compute):
         raise ValidationError("funCompute is not a function")
     _numerators(input)
@@ -148,23 +155,25 @@ def predict_bounds_ref(input: DataFrame, study_ref: DataFrame, bootstrap_reps: i
     validate.level(conf_level, "nConfLevel must be between 0 and 1")
     target, ref = study_ref.columns[:2]
     given = F.col(min_groups_col).cast("long") if min_groups_col in study_ref.columns else F.lit(None).cast("long")
-    asked = study_ref.select(F.col(target).alias("_target"), F.col(ref).alias("_ref"), given.alias("_given")).distinct()
+    rows = study_ref.select(F.col(target).alias("_target"), F.col(ref).alias("_ref"), given.alias("_given"), F.monotonically_increasing_id().alias("_place"))
+    asked = rows.groupBy("_target", "_ref", "_given").agg(F.min("_place").alias("_place"))
     sizes = input.groupBy(F.col(study_col).alias("_ref")).agg(F.countDistinct(group_col).alias("_n"))
     found = asked.join(sizes, "_ref")
     if warn:
-        lost = asked.select("_target").distinct().join(found.select("_target").distinct(), "_target", "left_anti").orderBy("_target").limit(100).collect()
+        lost = asked.select("_target").distinct().join(found.select("_target").distinct(), "_target", "left_anti").orderBy("_target").collect()
+        context = input_context(input) if lost else ""
         for row in lost:
-            warnings.warn(f"Skipping study '{row[0]}': none of its reference studies found in data.{input_context(input)}", stacklevel=2)
+            warnings.warn(f"Skipping study '{row[0]}': none of its reference studies found in data.{context}", stacklevel=2)
         if lost and found.isEmpty():
-            warnings.warn("No results produced: no target study has reference studies in data.", stacklevel=2)
+            warnings.warn(f"No results produced: no reference studies found in data for any target study.{context}", stacklevel=2)
         uneven = asked.filter("_given is not null").groupBy("_target").agg(F.countDistinct("_given").alias("n")).filter("n > 1")
         if min_groups_col in study_ref.columns and not uneven.isEmpty():
             raise ValidationError("nMinGroups must be a single positive integer")
     every = Window.partitionBy("_target")
-    pairs = found.select("_target", "_ref", F.coalesce("_given", F.min("_n").over(every)).alias("_groups"))
-    lines = reference_timelines(input, pairs, bootstrap_reps, mix_studies, bootstrap_table, month_sequence, study_col, group_col, seed, method, as_of)
+    pairs = found.select("_target", "_ref", "_place", F.coalesce("_given", F.min("_n").over(every)).alias("_groups"))
+    lines = reference_timelines(input, pairs.drop("_place"), bootstrap_reps, mix_studies, bootstrap_table, month_sequence, study_col, group_col, seed, method, as_of)
     bounds = study_bounds(lines, "_target", conf_level)
-    facts = pairs.groupBy("_target").agg(F.max("_groups").alias("GroupCount"), F.count(F.lit(1)).alias("StudyCount"), F.array_join(F.array_sort(F.collect_list("_ref")), ", ").alias("StudyRefID"))
+    facts = pairs.groupBy("_target").agg(F.max("_groups").alias("GroupCount"), F.count(F.lit(1)).alias("StudyCount"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_ref"))), lambda x: x["_ref"]), ", ").alias("StudyRefID"))
     out = bounds.join(facts, "_target")
     values = [c for c in bounds.columns if c != "_target"]
     out = out.select(*[F.col(c).alias(study_month_col if c == "StudyMonth" else c) for c in values], "GroupCount", "StudyCount", F.col("_target").alias("StudyID"), "StudyRefID")

@@ -15,20 +15,23 @@ IDS = ["GroupID", "GroupLevel", "Denominator", "StudyID", "MonthYYYYMM"]
 WIDE = ("Numerator", "Metric", "Median", "Lower", "Upper")
 
 
-def check_thresholds(input: DataFrame, metrics: DataFrame) -> None:
-    used = input.select("MetricID", "DenominatorType").distinct()
-    limits = used.join(metrics.select("MetricID", "AccrualThreshold").distinct(), "MetricID").groupBy("DenominatorType").agg(F.countDistinct("AccrualThreshold").alias("n")).filter("n > 1")
-    wrong = sorted(str(r[0]) for r in limits.limit(20).collect())
-    if wrong:
-        raise ValidationError(f"Metrics with the same denominator must have the same AccrualThreshold: {', '.join(wrong)}")
-
-
-def check_levels(input: DataFrame) -> None:
-    levels = [r[0] for r in input.select("GroupLevel").distinct().limit(21).collect()]
-    if any(x is None or x == "" for x in levels):
-        raise ValidationError("GroupLevel is missing or empty in dfInput")
-    if len(levels) > 1:
-        raise ValidationError(f"dfInput has different GroupLevel values: {', '.join(sorted(levels))}")
+def check_kinds(kinds: list, metrics: DataFrame) -> None:
+    """Of (DenominatorType, MetricID, GroupLevel) rows: thresholds and levels agree within a denominator type."""
+    limits: dict[str, set] = {}
+    for r in metrics.select("MetricID", "AccrualThreshold").distinct().collect():
+        limits.setdefault(r[0], set()).add(r[1])
+    for kind in sorted({str(r[0]) for r in kinds}):
+        own = [r for r in kinds if str(r[0]) == kind]
+        known = sorted({(m, x) for _, m, _ in own for x in limits.get(m, ())}, key=str)
+        if len({x for _, x in known}) > 1:
+            listed = "\n".join(f"{m} {x}" for m, x in known)
+            raise ValidationError(f"Cannot join KRIs with DenominatorType '{kind}' because they have different AccrualThreshold values:\n{listed}\n\nKRIs sharing the same DenominatorType must have identical AccrualThreshold (nMinDenominator) values because this parameter affects the Denominator calculation through date adjustment.")
+        empty = sorted({str(m) for _, m, level in own if level is None or level == ""})
+        if empty:
+            raise ValidationError(f"KRIs with DenominatorType '{kind}' have missing or empty GroupLevel values: {', '.join(empty)}\n\nEnsure all KRI YAML files have 'GroupLevel' defined in the meta section (e.g., 'GroupLevel: Site').")
+        if len({level for *_, level in own}) > 1:
+            listed = "\n".join(sorted(f"{m} {level}" for _, m, level in own))
+            raise ValidationError(f"Cannot join KRIs with DenominatorType '{kind}' because they have different GroupLevel values:\n{listed}\n\nKRIs sharing the same DenominatorType must have identical GroupLevel values for proper data alignment during pivot operations.")
 
 
 def denominator_mismatch(input: DataFrame) -> DataFrame:
@@ -42,23 +45,36 @@ def mismatch_rows(input: DataFrame) -> DataFrame:
 
 
 def join_kri_by_denominator(input: DataFrame, metrics: DataFrame, skip_validation: bool = False) -> dict[str, DataFrame]:
-    """Per denominator type one wide table: IDS, Numerator_<MetricID>.. ; absent combinations are null."""
+    """Per denominator type one wide table: IDS, Numerator_<MetricID>.. ; absent combinations are null.
+
+    One job finds the kinds (a row for each denominator type, metric and level),
+    one more whether site-months disagree or occur twice.
+    """
     validate.table(input, "dfInput")
     if "DenominatorType" not in input.columns:
-        raise ValidationError("dfInput must have a DenominatorType column")
+        raise ValidationError("dfInput must contain a 'DenominatorType' column. Use strDenominatorType parameter in Input_CountSiteByMonth.")
+    kinds = [tuple(r) for r in input.select("DenominatorType", "MetricID", "GroupLevel").distinct().collect()]
     if not skip_validation:
-        check_thresholds(input, metrics)
-        check_levels(input)
-        wrong = mismatch_rows(input).select("DenominatorType", "StudyID", "GroupID", "MonthYYYYMM", "MetricID", "Denominator").limit(20).collect()
+        check_kinds(kinds, metrics)
+        wrong = site_month_faults(input).orderBy("DenominatorType").limit(1).collect()  # one fault decides; its rows follow
         if wrong:
-            raise ValidationError(f"KRIs with the same denominator type have different Denominator values: {'; '.join(str(tuple(r)) for r in wrong)}")
-        twice = input.groupBy("DenominatorType", *IDS, "MetricID").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if not twice.isEmpty():
-            raise ValidationError("dfInput has several rows for one site-month and metric")
+            kind, n, twice = wrong[0]
+            if n:
+                rows = mismatch_rows(input.filter(F.col("DenominatorType") == kind)).select("MetricID", "StudyID", "GroupID", "MonthYYYYMM", "Denominator").orderBy("StudyID", "GroupID", "MonthYYYYMM", "MetricID").limit(20)
+                listed = "\n".join(" ".join(map(str, r)) for r in rows.collect())
+                raise ValidationError(f"Cannot join KRIs with DenominatorType '{kind}' because they have different Denominator values for the same (StudyID, GroupID, MonthYYYYMM) combinations:\n{listed}\n\nThis indicates the KRIs are using different denominator calculation methods (e.g., one with strDenominatorEndDateCol, one without) or have mismatched data. Ensure all KRIs with the same DenominatorType use identical Input_CountSiteByMonth parameters.")
+            raise ValidationError(f"dfInput has several rows for one site-month and metric of DenominatorType '{kind}'")
     found: dict[str, list[str]] = {}
-    for kind, metric in input.select("DenominatorType", "MetricID").distinct().orderBy("DenominatorType", "MetricID").collect():
+    for kind, metric in sorted({(k, m) for k, m, _ in kinds}, key=lambda x: (str(x[0]), str(x[1]))):
         found.setdefault(kind, []).append(metric)
-    return {kind: wide_numerators(input.filter(F.col("DenominatorType") == kind), ids) for kind, ids in found.items()}
+    return {kind: wide_numerators(input.filter(F.col("DenominatorType").eqNullSafe(kind)), ids) for kind, ids in found.items()}
+
+
+def site_month_faults(input: DataFrame) -> DataFrame:
+    """DenominatorType, n, twice: site-months with several denominators, and those with several rows of a metric."""
+    months = input.groupBy("DenominatorType", "StudyID", "GroupID", "MonthYYYYMM", "MetricID", "GroupLevel").agg(F.min("Denominator").alias("_low"), F.max("Denominator").alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    whole = months.groupBy("DenominatorType", "StudyID", "GroupID", "MonthYYYYMM").agg((F.min("_low") < F.max("_high")).alias("_apart"), (F.max("_rows") > 1).alias("_twice"))
+    return whole.groupBy("DenominatorType").agg(F.count_if("_apart").alias("n"), F.count_if("_twice").alias("twice")).filter("n > 0 or twice > 0")
 
 
 def wide_numerators(input: DataFrame, metric_ids: list[str]) -> DataFrame:

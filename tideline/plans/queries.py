@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.calendar import month_sequence
 from tideline.functions.draws import draw_index, uniform
 from tideline.operators import bootstrap, bounds, counts, reshape, simulate, timeline
-from tideline.plans import charts, report, workflow
+from tideline.plans import charts, definitions, report, workflow
 from tideline.plans.adapter import exposure, orders, read, shipments, study_ref, subjects
 from tideline.sources.io import ColumnSpec, apply_spec
 
@@ -85,8 +85,8 @@ def timeline_sql(source: str, by: list[str], nums: list[str], out: str = "cum",
     {out} AS (SELECT *, {rates} FROM {out}_c)"""
 
 
-def uniform_sql(*keys: str) -> str:
-    text = " || '|' || ".join(["'%d'" % SEED, *[f"CAST({k} AS VARCHAR)" for k in keys]])
+def uniform_sql(*keys: str, seed: int = SEED) -> str:
+    text = " || '|' || ".join(["'%d'" % seed, *[f"CAST({k} AS VARCHAR)" for k in keys]])
     return f"(CAST(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
 
 
@@ -314,13 +314,13 @@ def study_bounds_two_kris(spark, sf_dir):
 
 
 def pairs_sql(rows: list[tuple]) -> str:
-    return "ref AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{r}', {g if g else 'CAST(NULL AS BIGINT)'})" for t, r, g in rows) + ") v(target, ref, given))"
+    return "ref AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{r}', {g if g else 'CAST(NULL AS BIGINT)'}, {k})" for k, (t, r, g) in enumerate(rows)) + ") v(target, ref, given, place))"
 
 
 def reference_sql(rows: list[tuple], mix: bool = False, conf: float = 0.95, filter: str = "true") -> str:
     start = f"""{MONTHLY}, src AS (SELECT * FROM inp WHERE {filter}), {pairs_sql(rows)},
     grp AS (SELECT StudyID, GroupID, dense_rank() OVER (PARTITION BY StudyID ORDER BY GroupID) AS gn, count(*) OVER (PARTITION BY StudyID) AS cnt FROM (SELECT DISTINCT StudyID, GroupID FROM src)),
-    pr AS (SELECT DISTINCT target, ref, given, cnt FROM ref JOIN grp ON grp.StudyID = ref.ref),
+    pr AS (SELECT target, ref, given, cnt, min(place) AS place FROM ref JOIN grp ON grp.StudyID = ref.ref GROUP BY ALL),
     p AS (SELECT *, coalesce(given, min(cnt) OVER (PARTITION BY target)) AS n FROM pr),
     {reps_sql(REPS)},
     d AS (SELECT target, ref, BootstrapRep, cnt, unnest(generate_series(1, CAST(n AS BIGINT))) AS pos FROM p, reps),
@@ -335,7 +335,7 @@ def reference_sql(rows: list[tuple], mix: bool = False, conf: float = 0.95, filt
     else:
         body = """ e AS (SELECT *, max(StudyMonth) OVER (PARTITION BY target, ref, BootstrapRep) AS own, max(StudyMonth) OVER (PARTITION BY target, BootstrapRep) AS longest FROM cum_x),
         x AS (SELECT target, BootstrapRep, Metric, unnest(generate_series(StudyMonth, CASE WHEN StudyMonth = own THEN longest ELSE StudyMonth END)) AS StudyMonth FROM e)"""
-    facts = "f AS (SELECT target, CAST(max(n) AS BIGINT) AS GroupCount, count(*) AS StudyCount, string_agg(ref, ', ' ORDER BY ref) AS StudyRefID FROM p GROUP BY target)"
+    facts = "f AS (SELECT target, CAST(max(n) AS BIGINT) AS GroupCount, count(*) AS StudyCount, string_agg(ref, ', ' ORDER BY place) AS StudyRefID FROM p GROUP BY target)"
     return f"{start}{body}, {facts}, b AS ({bounds_sql('x', 'target, ', ['Metric'], conf)}) SELECT b.* EXCLUDE (target), GroupCount, StudyCount, b.target AS StudyID, StudyRefID FROM b JOIN f ON f.target = b.target"
 
 
@@ -439,26 +439,66 @@ def map_subject_filter(spark, sf_dir):
     return workflow.run_query("SELECT * FROM df WHERE c_acctbal > 0", df)
 
 
-FLAG = "CASE WHEN (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderstatus = 'O' AND o_orderpriority = '5-LOW') THEN 'Y' ELSE 'N' END"
+RAW_IE = """ie AS (SELECT c_mktsegment AS studyid, CAST(o_custkey AS VARCHAR) AS subjid, CASE o_orderstatus WHEN 'F' THEN 'EXCL' WHEN 'O' THEN 'INCL' ELSE 'OTHER' END AS iecat,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN '1' WHEN o_orderpriority = '5-LOW' THEN '0' END AS ieorres FROM orders JOIN customer ON o_custkey = c_custkey),
+    violated AS (SELECT *, 'Y' AS ie_violation FROM ie WHERE iecat = 'EXCL' AND ieorres = '1' OR iecat = 'INCL' AND ieorres = '0')"""
 
 
-@query(f"SELECT o_orderkey, o_custkey, {FLAG} AS violation FROM orders WHERE {FLAG} = 'Y' AND o_custkey IS NOT NULL")
-def map_ie_flag(spark, sf_dir):
-    flagged = workflow.run_query(f"SELECT o_orderkey, o_custkey, {FLAG} AS violation FROM df", read(spark, sf_dir, "orders"))
-    return workflow.run_query("SELECT * FROM df WHERE violation == 'Y' AND o_custkey IS NOT NULL", flagged)
+def raw_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = orders(spark, sf_dir)
+    category = F.when(F.col("o_orderstatus") == "F", "EXCL").when(F.col("o_orderstatus") == "O", "INCL").otherwise("OTHER")
+    answer = F.when(F.col("o_orderpriority") == "1-URGENT", "1").when(F.col("o_orderpriority") == "5-LOW", "0")
+    return facts.select("studyid", F.col("subjid").cast("string").alias("subjid"), F.lit("t").alias("tiver"), answer.alias("ieorres"), category.alias("iecat"))
 
 
-LABEL = "CASE WHEN iecat IS NOT NULL AND pd IS NOT NULL THEN 'Both' WHEN iecat IS NOT NULL THEN 'IE Only' WHEN pd IS NOT NULL THEN 'PD Only' ELSE 'Neither' END"
+def mapping(name: str, data: dict[str, DataFrame]) -> DataFrame:
+    return workflow.run_workflow(next(w for w in definitions.mapping_workflows() if w.meta["ID"] == name), data)
 
 
-@query(f"SELECT c_custkey AS subjid, iecat, pd, {LABEL} AS Source FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS iecat FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT DISTINCT o_custkey, 'ELIGIBILITY' AS pd FROM orders WHERE o_totalprice > 300000) b ON b.o_custkey = c_custkey WHERE c_acctbal > 0")
+@query(f"WITH {RAW_IE} SELECT studyid, subjid, 't' AS tiver, ieorres, iecat, ie_violation FROM violated")
+def map_ie_flag(spark, sf_dir):
+    return mapping("IE", {"Raw_IE": raw_criteria(spark, sf_dir)})
+
+
+@query(f"""WITH {RAW_IE}, criteria AS (SELECT studyid, subjid, string_agg(iecat, ',' ORDER BY iecat) AS iecat_concat, ie_violation FROM violated GROUP BY studyid, subjid, ie_violation),
+    pd AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS subjid, 'ELIGIBILITY CRITERIA' AS companycategory FROM orders WHERE o_totalprice > 300000)
+    SELECT c_mktsegment AS studyid, CAST(c_custkey AS VARCHAR) AS subjid, 'Y' AS enrollyn, iecat_concat, ie_violation, companycategory,
+        CASE WHEN ie_violation = 'Y' AND companycategory IS NULL THEN 'EDC I/E' WHEN ie_violation IS NULL AND companycategory IS NOT NULL THEN 'Eligibility IPD'
+             WHEN ie_violation = 'Y' AND companycategory IS NOT NULL THEN 'Ineligible, Both Criteria' ELSE 'Neither' END AS Source
+    FROM customer LEFT JOIN criteria ON criteria.subjid = CAST(c_custkey AS VARCHAR) AND criteria.studyid = c_mktsegment LEFT JOIN pd ON pd.subjid = CAST(c_custkey AS VARCHAR) WHERE c_acctbal > 0""")
 def map_exclusion_source(spark, sf_dir):
-    facts, who = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "subjid"), read(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "subjid")
-    ie = workflow.run_query("SELECT subjid, array_to_string(array_agg(o_orderstatus), ',') AS iecat FROM (SELECT * FROM df WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderstatus) GROUP BY subjid", facts)
-    ie = ie.withColumn("iecat", F.array_join(F.array_sort(F.split("iecat", ",")), ","))
-    pd = workflow.run_query("SELECT DISTINCT subjid, 'ELIGIBILITY' AS pd FROM df WHERE o_totalprice > 300000", facts)
-    both = workflow.left_join(workflow.left_join(who, ie, ["subjid"]), pd, ["subjid"])
-    return workflow.run_query(f"SELECT subjid, iecat, pd, {LABEL} AS Source FROM df WHERE c_acctbal > 0", both)
+    enrolled = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("studyid"), F.col("c_custkey").cast("string").alias("subjid"), F.when(F.col("c_acctbal") > 0, "Y").otherwise("N").alias("enrollyn"))
+    category = F.when(F.col("o_totalprice") > 300000, "ELIGIBILITY CRITERIA").otherwise("OTHER")
+    deviations = orders(spark, sf_dir).select("studyid", F.col("subjid").cast("string").alias("subjid"), category.alias("companycategory"))
+    return mapping("EXCLUSION", {"Mapped_IE": mapping("IE", {"Raw_IE": raw_criteria(spark, sf_dir)}), "Mapped_ENROLL": enrolled, "Mapped_PD": deviations})
+
+
+def metric_input(name: str, data: dict[str, DataFrame]) -> DataFrame:
+    flow = definitions.metric_workflows([name])[0]
+    flow.meta["AccrualThreshold"] = 0
+    found = workflow.run_workflow(flow, data)["Analysis_Input"]
+    return rounded(found)
+
+
+def mapped_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = exposure(spark, sf_dir).select("studyid", "subjid", F.col("first_date").alias("firstparticipantdate"), F.col("last_date").alias("lastparticipantdate"))
+    return subjects(spark, sf_dir).join(own, ["studyid", "subjid"], "left")
+
+
+LABS = f"""WITH {ORD}, n AS (SELECT studyid, invid, {ym("odate")} AS MonthYYYYMM, count(*) AS c FROM ord WHERE substr(o_orderpriority, 1, 1) IN ('3', '4') GROUP BY 1, 2, 3),
+    d AS (SELECT studyid, invid, {ym("odate")} AS MonthYYYYMM, count(*) AS c FROM ord WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3', '4') GROUP BY 1, 2, 3) """
+
+
+@query(LABS + FULL.format(more=", 'Total Lab Samples' AS DenominatorType"))
+def metric_kri0005(spark, sf_dir):
+    labs = orders(spark, sf_dir).select("studyid", "subjid", F.col("order_date").alias("lb_dt"), F.substring("o_orderpriority", 1, 1).alias("toxgrg_nsv"))
+    return metric_input("kri0005", {"Mapped_SUBJ": mapped_subjects(spark, sf_dir), "Mapped_LB": labs})
+
+
+@query(f"WITH {ORD}, {SPANS}, {NUM.format(source='ord WHERE ' + URGENT)}, d AS ({DAYS.format(keys='studyid, invid', month=ym('md'), name='c', source='spans')}) {FULL.format(more=', ' + chr(39) + 'Days on Study' + chr(39) + ' AS DenominatorType')}")
+def metric_kri0002(spark, sf_dir):
+    events = orders(spark, sf_dir).select("studyid", "subjid", F.col("order_date").alias("aest_dt"), F.when(F.expr(URGENT), "Y").otherwise("N").alias("aeser"))
+    return metric_input("kri0002", {"Mapped_SUBJ": mapped_subjects(spark, sf_dir), "Mapped_AE": events})
 
 
 @query("SELECT o_custkey AS subjid, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
@@ -522,24 +562,62 @@ def resample_eligible_subjects(spark, sf_dir):
     return simulate.eligible_subjects(raw_domains(spark, sf_dir), "Raw_AE", (0.25, 0.75)).select("subjid")
 
 
-@query(f"""WITH pool AS (SELECT CAST(c_custkey AS VARCHAR) AS subjid, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS i, count(*) OVER () AS n FROM customer WHERE c_custkey % 5 <> 0),
-    d AS (SELECT unnest(generate_series(1, 200)) AS k), m AS (SELECT max(n) AS n FROM pool),
-    x AS (SELECT k, CAST(floor({uniform_sql("'NEW/subjects'", "k")} * n) AS BIGINT) + 1 AS i FROM d, m)
-    SELECT k AS "_draw", subjid FROM x JOIN pool ON pool.i = x.i""")
+def drawn_sql(study: str, n: int, seed: int = SEED) -> str:
+    """CTEs pool, size, drawn (k, subjid, invid, siteid) and held (a subject's first draw) of a study's subjects, drawn with replacement."""
+    label = lambda what: f"'{study}/{what}'"
+    return f"""
+    {study}_pool AS (SELECT CAST(c_custkey AS VARCHAR) AS subjid, n_name AS invid, 's-' || n_name AS siteid,
+        row_number() OVER (ORDER BY {uniform_sql(label("subjects/pool"), "c_custkey", seed=seed)}, CAST(c_custkey AS VARCHAR)) AS i
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0),
+    {study}_size AS (SELECT count(*) AS n FROM {study}_pool),
+    {study}_x AS (SELECT k, CAST(floor({uniform_sql(label("subjects"), "k", seed=seed)} * n) AS BIGINT) + 1 AS i FROM (SELECT unnest(generate_series(1, {n})) AS k), {study}_size),
+    {study}_drawn AS (SELECT k, subjid, invid, siteid FROM {study}_x JOIN {study}_pool p ON p.i = {study}_x.i),
+    {study}_held AS (SELECT subjid, min(k) AS k, '{study}_' || lpad(CAST(min(k) AS VARCHAR), 4, '0') AS newid FROM {study}_drawn GROUP BY 1)"""
+
+
+def shuffled_sql(study: str, seed: int) -> str:
+    """CTE sites (k, invid, siteid): sites permuted among the drawn subjects."""
+    return f"""{study}_sites AS (SELECT row_number() OVER (ORDER BY {uniform_sql(f"'{study}/shuffle'", "k", seed=seed)}, k) AS k, '{study}_' || invid AS invid, siteid FROM {study}_drawn)"""
+
+
+def seated_sql(study: str, target: int, seed: int) -> str:
+    """CTE sites (k, invid, siteid): drawn subjects on new sites."""
+    return f"""
+    {study}_o AS (SELECT invid, n, row_number() OVER (ORDER BY {uniform_sql(f"'{study}/sites/pool'", "invid", seed=seed)}, invid) AS i FROM (SELECT invid, count(*) AS n FROM {study}_drawn GROUP BY 1)),
+    {study}_t AS (SELECT t, CAST(floor({uniform_sql(f"'{study}/sites'", "t", seed=seed)} * (SELECT count(*) FROM {study}_o)) AS BIGINT) + 1 AS i FROM (SELECT unnest(generate_series(1, {target})) AS t)),
+    {study}_e AS (SELECT t, n, sum(n) OVER (ORDER BY t) AS stop FROM {study}_t JOIN {study}_o o ON o.i = {study}_t.i),
+    {study}_s AS (SELECT k, CAST(floor({uniform_sql(f"'{study}/seats'", "k", seed=seed)} * (SELECT sum(n) FROM {study}_e)) AS BIGINT) + 1 AS seat FROM {study}_drawn),
+    {study}_sites AS (SELECT k, '{study}_' || CAST(t AS VARCHAR) AS invid, CAST(t AS VARCHAR) AS siteid FROM {study}_s JOIN {study}_e ON seat > stop - n AND seat <= stop)"""
+
+
+@query(f"""WITH {drawn_sql("NEW", 200)} SELECT k AS "_draw", subjid FROM NEW_drawn""")
 def resample_subject_ids(spark, sf_dir):
     pool = raw_domains(spark, sf_dir)["Raw_SUBJ"].filter("enrollyn = 'Y'")
     return simulate.draw_rows(pool, 200, SEED, "NEW/subjects", ["subjid"], True, "md5").select("_draw", "subjid")
 
 
-@query(None)
+@query(f"WITH {drawn_sql('NEW', 300)} SELECT newid AS subjid, o_orderkey AS aeid, 'NEW' AS studyid FROM orders JOIN NEW_held ON CAST(o_custkey AS VARCHAR) = subjid")
 def resample_study(spark, sf_dir):
-    return simulate.resample_study(raw_domains(spark, sf_dir), "NEW", 300, seed=SEED)["Raw_AE"]
+    return simulate.resample_study(raw_domains(spark, sf_dir), "NEW", 300, seed=SEED, method="md5")["Raw_AE"]
 
 
-@query(None)
+@query("""WITH p1 AS (WITH {} SELECT 'P1' AS studyid, invid, newid AS subjid, 'Y' AS enrollyn, siteid FROM P1_held JOIN P1_sites ON P1_sites.k = P1_held.k),
+    p2 AS (WITH {} SELECT 'P2' AS studyid, invid, newid AS subjid, 'Y' AS enrollyn, siteid FROM P2_held JOIN P2_sites ON P2_sites.k = P2_held.k)
+    SELECT * FROM p1 UNION ALL SELECT * FROM p2""".format(drawn_sql("P1", 100) + ", " + shuffled_sql("P1", SEED), drawn_sql("P2", 60, SEED + 1) + ", " + seated_sql("P2", 5, SEED + 1)))
 def simulate_portfolio(spark, sf_dir):
     config = [{"studyid": "P1", "nSubjects": 100}, {"studyid": "P2", "nSubjects": 60, "TargetSiteCount": 5}]
-    return simulate.simulate_portfolio(raw_domains(spark, sf_dir), config, seed=SEED)["Raw_SUBJ"]
+    return simulate.simulate_portfolio(raw_domains(spark, sf_dir), config, seed=SEED, method="md5")["Raw_SUBJ"]
+
+
+@query("""WITH {}, site AS (SELECT n_name AS invid, n_regionkey AS region, row_number() OVER (ORDER BY {}, n_name) AS i, count(*) OVER () AS n FROM nation)
+    SELECT 'P2_' || CAST(t AS VARCHAR) AS invid, region, 'P2' AS studyid FROM (SELECT t, CAST(floor({} * (SELECT max(n) FROM site)) AS BIGINT) + 1 AS i FROM (SELECT unnest(generate_series(1, 40)) AS t)) x
+    JOIN site ON site.i = x.i WHERE CAST(t AS VARCHAR) IN (SELECT siteid FROM P2_sites)""".format(
+        drawn_sql("P2", 60) + ", " + seated_sql("P2", 40, SEED), uniform_sql("'P2/site-rows/pool'", "n_name", "n_regionkey", "'OLD'"), uniform_sql("'P2/site-rows'", "t")
+    )
+)
+def resample_site_rows(spark, sf_dir):
+    site = read(spark, sf_dir, "nation").select(F.col("n_name").alias("invid"), F.col("n_regionkey").alias("region"), F.lit("OLD").alias("studyid"))
+    return simulate.resample_study({**raw_domains(spark, sf_dir), "Raw_SITE": site}, "P2", 60, 40, seed=SEED, method="md5")["Raw_SITE"]
 
 
 RATIOS = "r AS (SELECT 's-' || n_name AS siteid, CAST(count(CASE WHEN c_custkey % 5 <> 0 THEN 1 END) AS DOUBLE) / count(*) AS Ratio FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 HAVING count(CASE WHEN c_custkey % 5 <> 0 THEN 1 END) > 0)"
@@ -550,7 +628,7 @@ def screening_ratios(spark, sf_dir):
     return rounded(simulate.screening_ratios(raw_domains(spark, sf_dir)["Raw_SUBJ"]))
 
 
-@query(f"""WITH {RATIOS}, p AS (SELECT *, row_number() OVER (ORDER BY Ratio, siteid) AS i FROM r), z AS (SELECT count(*) AS n FROM p),
+@query(f"""WITH {RATIOS}, p AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql("'ratio/pool'", "siteid")}, siteid) AS i FROM r), z AS (SELECT count(*) AS n FROM p),
     e AS (SELECT c_mktsegment AS studyid, 's-' || n_name AS siteid, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0 GROUP BY 1, 2),
     d AS (SELECT studyid, e.siteid, k, CAST(floor({uniform_sql("'ratio'", "studyid", "e.siteid")} * n) AS BIGINT) + 1 AS i FROM e, z),
     f AS (SELECT studyid, d.siteid, k * (1 - Ratio) / Ratio AS x FROM d JOIN p ON p.i = d.i)
@@ -560,10 +638,20 @@ def screening_failures_md5(spark, sf_dir):
     return simulate.screening_failure_counts(source.filter("enrollyn = 'Y'"), source, seed=SEED, method="md5")
 
 
-@query(None)
+FAILURES = f"""{RATIOS}, p AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql("'ratio/pool'", "siteid")}, siteid) AS i FROM r), z AS (SELECT count(*) AS n FROM p),
+    who AS (SELECT c_mktsegment AS studyid, n_name AS invid, CAST(c_custkey AS VARCHAR) AS subjid, CASE WHEN c_custkey % 5 = 0 THEN 'N' ELSE 'Y' END AS enrollyn, 's-' || n_name AS siteid FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    e AS (SELECT studyid, siteid, count(*) AS k FROM who WHERE enrollyn = 'Y' GROUP BY 1, 2),
+    d AS (SELECT studyid, e.siteid, k, CAST(floor({uniform_sql("'ratio'", "studyid", "e.siteid")} * n) AS BIGINT) + 1 AS i FROM e, z),
+    f AS (SELECT studyid, d.siteid, CAST(round_even(k * (1 - Ratio) / Ratio, 0) AS BIGINT) AS x FROM d JOIN p ON p.i = d.i)"""
+
+
+@query(f"""WITH {FAILURES}, lost AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql("'row/pool'", "studyid", "siteid", "subjid")}, studyid, siteid, subjid) AS i, count(*) OVER () AS n FROM who WHERE enrollyn = 'N'),
+    seats AS (SELECT studyid, siteid, unnest(generate_series(1, x)) AS k FROM f WHERE x > 0),
+    at AS (SELECT studyid, siteid, CAST(floor({uniform_sql("'row'", "studyid", "siteid", "k")} * (SELECT max(n) FROM lost)) AS BIGINT) + 1 AS i FROM seats)
+    SELECT * FROM who WHERE enrollyn = 'Y' UNION ALL SELECT at.studyid, invid, subjid, enrollyn, at.siteid FROM at JOIN lost ON lost.i = at.i""")
 def screening_failures_rows(spark, sf_dir):
     source = raw_domains(spark, sf_dir)["Raw_SUBJ"]
-    return simulate.add_screening_failures(source.filter("enrollyn = 'Y'"), source, seed=SEED, order=["studyid", "siteid", "subjid"])
+    return simulate.add_screening_failures(source.filter("enrollyn = 'Y'"), source, seed=SEED, order=["studyid", "siteid", "subjid"], method="md5")
 
 
 # ---------------------------------------------------------------- charts and reports

@@ -38,41 +38,42 @@ for _name, _function in {
     register(_name, _function)
 
 
-def parse_function(name: str) -> Callable:
+def parse_function(name: str | Callable, aliases: dict[str, str] | None = None) -> Callable:
     """The registered function of that name; a callable is returned as it is.
 
-    A package in front doesn't count, nor does a part of the name that starts
-    with Study and goes on in capitals.
+    A namespace in front (``pkg::name``) doesn't count.  Files written for other
+    names are run with ``aliases``, from their names to the registered ones.
     """
     if callable(name):
         return name
     if not isinstance(name, str):
         raise ValidationError("strFunction must be a single character string")
-    bare = re.sub(r"_?(Study)[A-Z]{2,}(?=_|$)", lambda m: "" if m[0][0] == "_" else m[1], name.strip().rpartition("::")[2])
+    bare = name.strip().rpartition("::")[2]
+    bare = (aliases or {}).get(bare, bare)
     if bare not in _FUNCTIONS:
         raise ValidationError(f"Failed to parse '{name}' as a function")
     return _FUNCTIONS[bare]
 
 
-#: Parameters whose name differs from the plain form of the workflow's.
-_RENAMED = {"replicates": "bootstrap_table", "group_count": "groups"}
+#: Parameters whose plain name is not their own without its prefix.
+_SPELLED = {"tblBootstrapReps": "bootstrap_table", "bUselData": "use_data"}
 
 
 def plain_name(parameter: str) -> str:
     """strStudyCol, dfInput, nBootstrapReps, vBy, lWide to study_col, input, bootstrap_reps, by, wide."""
+    if parameter in _SPELLED:
+        return _SPELLED[parameter]
     bare = re.sub(r"^(?:str|df|tbl|fun|[nvbld])(?=[A-Z])", "", parameter)
-    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", bare).lower()
-    return {"bootstrap_reps": "bootstrap_reps", "use_l_data": "use_data", "usel_data": "use_data"}.get(words, _RENAMED.get(words, words))
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", bare).lower()
 
 
-def call(name: str, params: dict) -> object:
-    """Call a registered function with parameters in either spelling; ``tblBootstrapReps`` is the replicate table."""
-    function = parse_function(name)
+def call(name: str | Callable, params: dict, aliases: dict[str, str] | None = None) -> object:
+    """Call a registered function with parameters in either spelling."""
+    function = parse_function(name, aliases)
     known = inspect.signature(function).parameters
+    open_ended = any(p.kind is p.VAR_KEYWORD for p in known.values())
     named = {}
     for key, value in params.items():
-        plain = "bootstrap_table" if key == "tblBootstrapReps" else key if key in known else plain_name(key)
-        if plain not in known and any(p.kind is p.VAR_KEYWORD for p in known.values()):
-            plain = key
-        named[plain] = value
+        plain = key if key in known else plain_name(key)
+        named[key if plain not in known and open_ended else plain] = value
     return function(**named)

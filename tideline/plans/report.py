@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tideline.plans import registry
 
+PAGE = '<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body>{body}</body></html>'
+
 
 def latest_metrics(results: DataFrame) -> DataFrame:
     """StudyID, MetricID, StudyMonth, Metric of each series' last month."""
@@ -53,8 +55,13 @@ def _html_table(rows: list[dict]) -> str:
     return f"<table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table>"
 
 
-def report_study(charts: list[tuple[str, dict]] | dict[str, dict], results: DataFrame, groups: DataFrame | None = None, metrics: DataFrame | list[dict] | None = None, output_file: str = "report.html") -> dict[str, str]:
-    """A file for each study that has charts: its study id to the file's path.  Nothing comes of no charts."""
+def report_study(charts: list[tuple[str, dict]] | dict[str, dict], results: DataFrame, groups: DataFrame | None = None, metrics: DataFrame | list[dict] | None = None, output_file: str = "report.html", input_path: str | None = None) -> dict[str, str]:
+    """A file for each study that has charts: its study id to the file's path.  Nothing comes of no charts.
+
+    ``input_path`` is an HTML file to fill in: ``{title}`` and ``{body}`` in it
+    are replaced.
+    """
+    page = PAGE if input_path is None else Path(input_path).read_text(encoding="utf-8")
     items = list(charts.items()) if isinstance(charts, dict) else charts if isinstance(charts, list) else []
     by_study: dict[str, list[dict]] = {}
     for name, chart in items:
@@ -77,7 +84,7 @@ def report_study(charts: list[tuple[str, dict]] | dict[str, dict], results: Data
         body += [f"<h3>{html.escape(c['title'])}</h3><p>{html.escape(c['subtitle'])}</p>{svg(c)}" for c in own]
         body += ["<h2>Metrics</h2>", _html_table(records)]
         out[study] = output_name(output_file, study)
-        Path(out[study]).write_text(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(study)}</title></head><body>{"".join(body)}</body></html>', encoding="utf-8")
+        Path(out[study]).write_text(page.replace("{title}", html.escape(study)).replace("{body}", "".join(body)), encoding="utf-8")
     return out
 
 
