@@ -9,31 +9,38 @@ their word-level edit similarity, 1 - distance / longer length, is at least
 ``SIMILARITY``; the distance comes from a bit-parallel alignment in a band just
 wide enough for that bound, so a verdict is exact for each candidate pair.
 
-Equal texts are represented by one of them from the sketches on.  A first round
-takes a few sketches and compares every text of a bucket with its first one,
-which joins most of a large group.  From then on buckets of at most ``SMALL``
-texts compare all pairs, and a larger one that still holds several components
-is refined by requiring further sketches to agree, which joins more.  At last
-every larger bucket that still holds several components is compared whole, in
-blocks, by its texts' counts of words and of word pairs: an edit changes one
-word and two pairs at most, so what the counts part is no near copy, and all
-the rest is aligned.
-Every pair with a common sketch is thus aligned, ruled out or joined already;
-pairs that are joined are never compared: only the classes count.
+Equal texts are represented by one of them from the sketches on; buckets of one
+text are dropped by the exchange that forms buckets.  Then three steps each
+leave out pairs that earlier links have joined, which changes no class:
+
+1. Star: a bucket's texts with its first one, if the bucket is small or the two
+   share several sketches.  This joins most of a large group of near copies.
+2. Buckets of at most ``SMALL`` texts: all pairs.
+3. The texts of larger buckets that still hold several components meet by their
+   rarest words instead of by buckets, so a passage in very many documents costs
+   no more than its share.  Within the bound, an edit changes one word, so two
+   near copies of up to ``d`` edits have one of their ``d`` + 1 rarest labelled
+   words in common, whatever the order of rarity (word pairs: ``2 d`` + 1), and
+   if common words alone do not suffice for the bound, a rare one.
+   Every pair that these, its lengths and the words' places do not rule out is
+   aligned, the likeliest first: this finds all near copies among these texts,
+   with a common sketch or without.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import byte_slices, stash, text_or_empty
+from tideline.llm.common import Shelf, byte_slices, safe_parts, stash, text_or_empty
 from tideline.llm.components import components
 
 WORDS = 5
@@ -43,18 +50,29 @@ SIMILARITY = 0.8
 SKETCHES = 32
 TAKEN = 2
 SMALL = 12
-#: Sketches of the first round; how many consecutive sketches must agree on each level of refinement.
-FIRST = 4
-LEVELS = (1, 2, 4)
-#: Texts of a block of a crowded bucket; cells that a text's words, and its word pairs, are counted in.
-BLOCK = 256
-CELLS = 256
+#: Common sketches from which on a text is compared with the first one of a larger bucket.
+SURE = 4
+#: Rare words in a part of step 3, about; texts that its order of rarity is learned from (more or fewer change no result).
+PART = 1_000_000
+LEARNED = 1024
+#: Texts with one rare word in common that meet in one place; more are dealt into blocks.
+HOT = 4000
+#: Texts on a side of a square of pairs that are aligned together.
+BLOCK = 64
+#: Rounds of step 3 that align the likeliest candidate of each text; the rest comes last.
+ROUNDS = 2
+#: Texts in a block of step 3, pairs of which are aligned by squares; pairs in one row.
+CROWD = 2048
+SQUARE = 50_000
 
 _PRIME = 0x9E3779B97F4A7C15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WHITE = np.zeros(256, bool)
 _WHITE[list(b" \t\n\r\x0b\x0c")] = True
 _POWERS: list[np.ndarray] = []
+#: Bytes of text that words are hashed from at a time; bytes from which on a word has a hash of another kind.
+_LONG = 1 << 20
+_GIANT = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +94,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every white-space separated word of all texts, and the number of words of each text."""
+    """A hash of every white-space separated word of all texts, and the number of words of each text.
+
+    A text of more than ``_LONG`` bytes is worked on in parts cut at white space.
+    """
+    if all(len(t) <= _LONG for t in texts):
+        return _block_hashes(texts)
+    found = []
+    for t in texts:
+        parts = [np.zeros(0, np.uint64)]
+        for part in safe_parts(t, _LONG):
+            if len(part) <= 2 * _LONG:
+                parts.append(_block_hashes([part])[0])
+            else:  # words longer than a block
+                words = part.split()
+                parts.append(np.array([_giant(w) if len(w) > _GIANT else int(_block_hashes([w])[0][0]) for w in words], np.uint64))
+        found.append(np.concatenate(parts))
+    return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+
+
+def _block_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     white = _WHITE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).astype(np.int8)))
@@ -84,10 +121,17 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * up[: len(raw)], dtype=np.uint64)])
     hashes = _mix((total[stops] - total[starts]) * down[starts])
+    for k in np.flatnonzero(stops - starts > _GIANT).tolist():
+        hashes[k] = _giant(raw[starts[k] : stops[k]].tobytes())
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
 
 
+def _giant(word: bytes) -> int:
+    """Hash of a word too long for sums of powers."""
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def labelled_kmers(hashes: np.ndarray, counts: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-mers with their occurrence numbers, text after text, and how many each text has.
 
@@ -213,204 +257,442 @@ def sketch_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return narrow.mapInArrow(sketch, "doc_id long, digest binary, n_words long, sketch array<long>")
 
 
-def _buckets(rows: DataFrame, level: int) -> DataFrame:
-    """(no, bucket, id, n_words): ``level`` sketches in a row, from sketch ``no`` on, must agree."""
-    key = lambda i: F.xxhash64(F.lit(i), *[F.col("sketch")[(i + j) % SKETCHES] for j in range(level)])
-    return rows.select("id", "n_words", F.posexplode(F.array(*[key(i) for i in range(SKETCHES)])).alias("no", "bucket"))
-
-
 def _comparable(a: str, b: str, least: float):
     """Lengths between which the similarity can be reached."""
     return F.abs(F.col(a) - F.col(b)) <= (1 - least) * F.greatest(a, b) + 1e-9
 
 
-def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of the buckets that hold texts of several components, with their roots, the bucket's size and its first text."""
-    named = members.join(label, "id")
-    counted = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "n_words", "root")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return named.join(counted.filter("low < high").select("bucket", "n", "first"), "bucket").select("bucket", "id", "n_words", "root", "n", "first")
+def _shared_buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, id, n_words, n, first) of the buckets of two texts or more: their size and the smallest id in them."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("sketch")[i]) for i in range(SKETCHES)])
+    whole = Window.partitionBy("bucket")
+    members = rows.select("id", F.col("n_words").cast("int").alias("n_words"), F.explode(keys).alias("bucket"))
+    counted = members.select("bucket", "id", "n_words", F.count(F.lit(1)).over(whole).alias("n"), F.min(F.struct("id", "n_words")).over(whole).alias("first"))
+    return counted.filter("n > 1")
 
 
-def _pairs(mixed: DataFrame, small: int, least: float, with_star: bool) -> DataFrame:
-    """Pairs (a, b) of different components: all of a small bucket; with ``with_star`` those with the first text of a larger one."""
-    few = mixed.filter(F.col("n") <= small).select("bucket", "id", "n_words", "root")
-    other = few.select("bucket", F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("root").alias("rb"))
-    close = few.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _comparable("n_words", "nb", least)).select(F.col("id").alias("a"), "b")
-    if not with_star:
-        return close.distinct()
-    star = mixed.filter((F.col("n") > small) & (F.col("root") != F.col("first.root"))).withColumn("nb", F.col("first.n_words")).filter(_comparable("n_words", "nb", least))
-    return close.union(star.select(F.col("first.id").alias("a"), F.col("id").alias("b"))).distinct()
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that hold texts of several components."""
+    named = members.select("bucket", "id", "n_words").join(label, "id")
+    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    return named.join(apart, "bucket", "left_semi")
 
 
-def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+def _relabel(label: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
     """The labels after further links, which join whole components."""
     roots = links.join(label.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
-    apart = stash(roots.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "roots")
+    apart = shelf.put(roots.filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "roots")
     if apart.isEmpty():
         return label
-    merged = components(apart)
-    return stash(label.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left").select("id", F.coalesce("new", "root").alias("root")), "label")
+    merged = components(apart, shelf)
+    new = label.join(merged.select(F.col("id").alias("root"), F.col("root").alias("new")), "root", "left")
+    return shelf.put(new.select("id", F.coalesce("new", "root").alias("root")), "label")
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b, ..) of texts that are in different components by now."""
+    ra, rb = (label.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return pairs.join(ra, "a").join(rb, "b").filter("ra != rb").drop("ra", "rb")
 
 
-def near_roots(reps: DataFrame, docs: DataFrame, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_roots(reps: DataFrame, docs: DataFrame, shelf: Shelf, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(id, root) for those ``reps`` (id, n_words, sketch) that share a bucket: the largest id that near-copy links join each to.
 
-    The texts of these are read once, as words.  The first round compares by a
-    few sketches, the second by all, the next within refined buckets; each
-    leaves out pairs that are joined already, which changes no component.
+    The texts of these are read once, as words.
     """
-    rows = reps.filter(F.size("sketch") > 0)
-    members = _buckets(rows, 1)
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("bucket")
-    members = stash(members.join(shared, "bucket", "left_semi"), "members")
-    label = members.select("id").distinct().select("id", F.col("id").alias("root"))
-    words = stash(word_lists(label.select("id"), docs, text, doc_id), "words")
-    label = _relabel(label, verified(_pairs(_mixed(members.filter(F.col("no") < FIRST), label), small, least, True), words, least))
-    everything = members
-    for level in LEVELS:
-        mixed = stash(_mixed(members, label), "mixed")
-        label = _relabel(label, verified(_pairs(mixed, small, least, level == LEVELS[-1]), words, least))
-        crowded = stash(_crowded(mixed.filter(F.col("n") > small).select("bucket", "id", "n_words"), label), "crowded")
-        if level == LEVELS[-1] or crowded.isEmpty():
-            break
-        members = _buckets(rows.join(crowded.select("id").distinct(), "id", "left_semi"), 2 * level)
-    large = everything.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select("bucket")
-    crowded = stash(_crowded(everything.join(large, "bucket", "left_semi").select("bucket", "id", "n_words"), label), "crowded")
-    if crowded.isEmpty():
-        return label
-    close = stash(_not_apart(crowded, words, least), "close")
-    # the closest text of each first: most links are found by these
-    nearest = lambda own, other: close.groupBy(own).agg(F.min_by(other, F.struct("gap", other)).alias(other)).select("a", "b")
-    first = stash(nearest("a", "b").union(nearest("b", "a")).distinct(), "nearest")
-    label = _relabel(label, verified(first, words, least))
-    rest = close.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for side in ("a", "b"):
-        rest = rest.join(label.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side)
-    return _relabel(label, verified(rest.filter("ra != rb").select("a", "b"), words, least))
-
-
-def _crowded(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, id, n_words, root) of the buckets that hold texts of several components."""
-    named = members.join(label, "id")
-    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return named.join(apart, "bucket", "left_semi").select("bucket", "id", "n_words", "root")
+    members = shelf.put(_shared_buckets(reps.filter(F.size("sketch") > 0)), "members")
+    label = shelf.put(members.select("id").distinct().select("id", F.col("id").alias("root")), "label")
+    words = shelf.put(word_lists(label.select("id"), docs, text, doc_id), "words")
 
+    star = members.filter(F.col("id") != F.col("first.id")).select(F.col("first.id").alias("a"), F.col("id").alias("b"), "n_words", F.col("first.n_words").alias("nb"), "n")
+    often = star.filter(_comparable("n_words", "nb", least)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("n").alias("n"))
+    label = _relabel(label, verified(often.filter((F.col("n") <= small) | (F.col("common") >= SURE)).select("a", "b", F.col("a").alias("hub")), words, shelf, least), shelf)
 
-def profile(words: np.ndarray) -> np.ndarray:
-    """Counts of a text's words and of its pairs of consecutive words in CELLS cells each, 255 at most."""
-    pairs = _mix(words[:-1].astype(np.uint64) * np.uint64(_PRIME) + words[1:])
-    both = [np.bincount((x % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for x in (words.astype(np.uint64), pairs)]
-    return np.minimum(np.concatenate(both), 255).astype(np.uint8)
+    few = shelf.put(_mixed(members.filter(F.col("n") <= small), label), "few")
+    other = few.select("bucket", F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("root").alias("rb"))
+    close = few.join(other, "bucket").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")) & _comparable("n_words", "nb", least))
+    label = _relabel(label, verified(close.select(F.col("id").alias("a"), "b").distinct().withColumn("hub", F.col("a")), words, shelf, least), shelf)
+
+    shelf.drop("few")
+    crowded = shelf.put(_mixed(members.filter(F.col("n") > small), label).select("id", "n_words", "root").distinct(), "crowded")
+    if not crowded.isEmpty():
+        words = shelf.put(words.join(crowded.select("id"), "id", "left_semi"), "crowded-words")
+        met = shelf.put(_meetings(crowded, words, least), "met")
+        for k in range(ROUNDS):
+            apart = _apart(met.filter(F.col("x") < 0).select(F.col("y").alias("a"), F.col("b")[k].alias("b"), F.col("common")[k].alias("common")), label)
+            likeliest = apart.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+            label = _relabel(label, verified(likeliest.select("a", "b", F.col("b").alias("hub")), words, shelf, least), shelf)
+        label = _relabel(label, _verified_squares(met.filter("x >= 0"), label, words, shelf, least), shelf)
+    shelf.drop("members", "words", "few", "crowded", "crowded-words", "met", "left", "verified")
+    return label
+
+
+def most_edits(n: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The largest number of edits between a text of n words and any near copy."""
+    longest = (n / least + 1e-9).astype(np.int64)
+    return ((1 - least) * longest + 1e-9).astype(np.int64)
+
+
+def elements(words: np.ndarray, size: int) -> np.ndarray:
+    """Words, or pairs of consecutive words, as numbers that tell repeated ones apart by their occurrence."""
+    x = words.astype(np.uint64)
+    if size == 2 and len(x) > 1:
+        x = x[:-1] * np.uint64(_PRIME) + x[1:]
+    x = _mix(x)
+    order = np.argsort(x, kind="stable")
+    ordered = x[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    at = np.arange(len(x))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    out = x.copy()
+    out[order] = np.where(nth > 0, _mix(ordered + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), ordered)
+    return out
 
 
-def not_apart(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], same: bool, least: float = SIMILARITY) -> Iterator[tuple[int, int, int, int, int]]:
-    """(a, b, root of a, root of b, gap) of the texts of two blocks that may be near copies, each pair once if the blocks are the ``same``.
+@dataclass(frozen=True)
+class Rarity:
+    """Order of elements from the rarest on: those not in ``common`` first; how many blocks the hot ones are dealt into."""
 
-    A block has ids, roots, numbers of words and profiles.  The gap is the
-    larger number of words that one text has over the other.
-    """
-    (ids, roots, n, counts), (others, their_roots, m, theirs) = one, other
-    halves = [(slice(k * CELLS, (k + 1) * CELLS), k + 1) for k in (0, 1)]
-    own, sums = ([x[:, part].sum(axis=1, dtype=np.int64) for part, _ in halves] for x in (counts, theirs))
-    for i in range(len(ids)):
-        most = ((1 - least) * np.maximum(n[i], m) + 1e-9).astype(np.int64)
-        seek = (roots[i] != their_roots) & (np.abs(n[i] - m) <= most)
-        if same:
-            seek[: i + 1] = False
-        at = np.flatnonzero(seek)
-        for k in (1, 0):
-            part, changed = halves[k]
-            gap = np.maximum(own[k][i], sums[k][at]) - np.minimum(counts[i, part], theirs[at, part]).sum(axis=1, dtype=np.int64)
-            within = gap <= changed * most[at]
-            at, gap = at[within], gap[within]
-        for j, g in zip(at.tolist(), gap.tolist()):
-            (a, ra), (b, rb) = sorted([(int(ids[i]), int(roots[i])), (int(others[j]), int(their_roots[j]))])
-            yield a, b, ra, rb, g
+    size: int
+    common: np.ndarray
+    counts: np.ndarray
+    hot: dict[int, int]
 
+    def rarest(self, words: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """The elements of which near copies have one in common, their places, whether each is rare, and how many rare ones the text has."""
+        found = elements(words, self.size)
+        count = np.zeros(len(found), np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
+            count = np.where(self.common[at] == found, self.counts[at], 0)
+        n = self.size * int(most_edits(np.array([len(words)]), least)[0]) + 1
+        order = np.lexsort((found, count))[:n]
+        return found[order], order, count[order] == 0, int((count == 0).sum())
 
-def may_match(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether two word sequences have enough words, and pairs of consecutive words, in common to be near copies."""
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
+
+def learn_rarity(texts: list[np.ndarray], total: int, least: float = SIMILARITY) -> Rarity:
+    """From some of ``total`` texts' words: the order of rarity for words or word pairs, whichever brings fewer texts together."""
+    best = None
     for size in (1, 2):
-        one, other = (x.astype(np.uint64) if size == 1 else x[:-1].astype(np.uint64) << np.uint64(32) | x[1:] for x in (a, b))
-        kinds = np.unique(np.concatenate([one, other]))
-        counts = [np.bincount(np.searchsorted(kinds, x), minlength=len(kinds)) for x in (one, other)]
-        if max(len(one), len(other)) - np.minimum(*counts).sum() > size * most:
-            return False
-    return True
+        if size == 2 and least < SIMILARITY:
+            break
+        common, counts = np.unique(np.concatenate([elements(t, size) for t in texts]), return_counts=True)
+        often = counts > 1
+        order = Rarity(size, common[often], counts[often], {})
+        keys, runs = np.unique(np.concatenate([order.rarest(t, least)[0] for t in texts]), return_counts=True)
+        scale = total / len(texts)
+        hot = {int(k): int(-(-n * scale // (HOT // 2))) for k, n in zip(keys[runs > 1], runs[runs > 1]) if n * scale > HOT}
+        meetings = float((runs[runs > 1].astype(np.float64) ** 2).sum())
+        if best is None or meetings < best[0] / 2:
+            best = meetings, Rarity(size, order.common, order.counts, hot)
+    return best[1]
+
+
+def _dealt(found: np.ndarray, places: np.ndarray, number: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, places and sides of a text's elements: a hot element has a key for each pair of blocks with the text's own."""
+    hot = [(k, x) for k, x in enumerate(found.tolist()) if x in rarity.hot] if rarity.hot else []
+    if not hot:
+        return found, places, np.zeros(len(found), np.uint8)
+    plain = np.ones(len(found), bool)
+    plain[[k for k, _ in hot]] = False
+    keys, where, sides = [], [], []
+    for k, x in hot:
+        blocks = rarity.hot[x]
+        own = number % blocks
+        for other in range(blocks):
+            keys.append((x + min(own, other) * 0x9FB21C651E98DF25 + max(own, other) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
+            where.append(places[k])
+            sides.append(0 if own == other else 1 if own < other else 2)
+    return np.concatenate([found[plain], np.array(keys, np.uint64)]), np.concatenate([places[plain], np.array(where, np.int64)]), np.concatenate([np.zeros(plain.sum(), np.uint8), np.array(sides, np.uint8)])
+
+
+def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """(x, y, a, b, common): pairs of texts of the blocks x and y that may be near copies, and how many keys they have in common in a part.
+
+    Rows with x = -1 have the likeliest partners b of the text y.  ``crowded``
+    has the ids, lengths and roots of the texts.
+    """
+    spark = crowded.sparkSession
+    total = crowded.count()
+    blocks = total // CROWD + 1
+    texts = words.join(crowded, "id").select("id", "n_words", "root", "words", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(min(1.0, LEARNED / total) * (1 << 20))
+    # the order of rarity may be learned from any texts: it changes how many meet, not which near copies do
+    learned = [np.frombuffer(r["words"], "<u4") for r in texts.filter(drawn & F.col("n_words").between(1, 4096)).limit(2 * LEARNED).select("words").collect()]
+    rarity = learn_rarity(learned or [np.zeros(1, "<u4")], total, least)
+    entries = crowded.agg(F.sum(F.col("n_words") * (1 - least) / least * rarity.size + 1).alias("n")).first()["n"]
+    parts = int(entries // PART) + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for number, n, root, raw, block in zip(*(batch.column(k) for k in range(5))):
+                found, places, rare, n_rare = rarity.rarest(np.frombuffer(raw.as_buffer(), "<u4"), least)
+                mixed = int(_mix(np.array([number.as_py()], np.int64).view(np.uint64))[0])
+                for is_rare in (True, False):
+                    keys, where, sides = _dealt(found[rare == is_rare], places[rare == is_rare], mixed, rarity)
+                    part = (keys >> np.uint64(20)) % np.uint64(parts)
+                    for p in np.unique(part).tolist():
+                        own = part == p
+                        rows.append((p, number.as_py(), n.as_py(), root.as_py(), block.as_py(), n_rare, is_rare, keys[own].tobytes(), where[own].astype("<u4").tobytes(), sides[own].tobytes()))
+            cols = list(zip(*rows)) or [()] * 10
+            kinds = (*[pa.int64()] * 6, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["part", "id", "n_words", "root", "block", "n_rare", "rare", "keys", "places", "sides"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(10))):
+                if held and row[0] != held[-1][0]:
+                    yield from _met(held, rarity.size, parts == 1, least)
+                    held = []
+                held.append(row)
+        if held:
+            yield from _met(held, rarity.size, parts == 1, least)
 
+    dealt = texts.mapInArrow(deal, "part long, id long, n_words long, root long, block long, n_rare long, rare boolean, keys binary, places binary, sides binary")
+    ranges = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(meet, "x long, y long, a array<long>, b array<long>, common array<long>")
 
-def _not_apart(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb, gap): all pairs of different components in a bucket but those whose lengths, words or word pairs rule them out.
 
-    A bucket is cut into classes of length, of which only neighbours can match,
-    its largest component is kept apart from the rest, and both are dealt into
-    blocks, so that a very large bucket is compared by many tasks.
-    """
+def needed_rare(i: np.ndarray, j: np.ndarray, n: np.ndarray, n_rare: np.ndarray, size: int, least: float = SIMILARITY) -> np.ndarray:
+    """How many rare elements the texts i and j must share to be near copies, at least (none: 0 or less).
 
-    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profile(np.frombuffer(x.as_buffer(), "<u4")).tobytes() for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["id", "profile"])
+    It is 1 in place of more where a text has more rare elements than its keys.
+    """
+    whole = np.maximum(n - size + 1, 1)
+    most = size * ((1 - least) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+    need = np.maximum(whole[i], whole[j]) - most - np.minimum(whole[i] - n_rare[i], whole[j] - n_rare[j])
+    keys = size * most_edits(n, least) + 1
+    return np.where((n_rare[i] <= keys[i]) & (n_rare[j] <= keys[j]), need, np.minimum(need, 1))
+
+
+def _met(rows: list[tuple], size: int, alone: bool, least: float) -> Iterator[pa.RecordBatch]:
+    """The texts of one part that have rare words in common, by the blocks of both; ``alone``: there is no other part."""
+    _, every, n, roots, block, n_rare, rare, keys, places, sides = zip(*rows)
+    ids, first, text = np.unique(np.array(every, np.int64), return_index=True, return_inverse=True)
+    n, roots, block, n_rare = (np.array(c, np.int64)[first] for c in (n, roots, block, n_rare))
+    each = [len(k) // 8 for k in keys]
+    owner, is_rare = np.repeat(text, each), np.repeat(np.array(rare, bool), each)
+    key = np.frombuffer(b"".join(keys), "<u8")
+    place = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
+    side = np.frombuffer(b"".join(sides), np.uint8)
+    order = np.argsort(key, kind="stable")
+    owner, key, place, side, is_rare = owner[order], key[order], place[order], side[order], is_rare[order]
+    pairs, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, at = np.unique(np.concatenate([pairs, *held]), return_inverse=True)
+        weights = np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)])
+        return found, np.bincount(at, weights=weights, minlength=len(found)).astype(np.int64)
+
+    for i, j, by_rare in candidate_pairs(key, owner, place, side, is_rare, n, roots, least):
+        useful = by_rare | (needed_rare(i, j, n, n_rare, size, least) <= 0)
+        i, j = i[useful], j[useful]
+        held.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
+        if sum(map(len, held)) > 4_000_000:
+            (pairs, counts), held = merged(), []
+    pairs, counts = merged()
+    a, b = pairs // len(ids), pairs % len(ids)
+    if alone:  # all that two texts have in common is here
+        enough = counts >= needed_rare(a, b, n, n_rare, size, least)
+        a, b, counts = a[enough], b[enough], counts[enough]
+    if not len(a):
+        return
+    turn = block[a] > block[b]
+    a, b = np.where(turn, b, a), np.where(turn, a, b)
+    order = np.lexsort((-counts, block[b], block[a]))
+    a, b, counts = a[order], b[order], counts[order]
+    new = np.flatnonzero(np.concatenate([[True], (block[a][1:] != block[a][:-1]) | (block[b][1:] != block[b][:-1])]))
+    starts = np.unique(np.concatenate([new, np.arange(0, len(a), SQUARE)]))
+    offsets = pa.array(np.concatenate([starts, [len(a)]]).astype(np.int32))
+    names = ["x", "y", "a", "b", "common"]
+    yield pa.record_batch([pa.array(block[a[starts]]), pa.array(block[b[starts]]), *[pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (ids[a], ids[b], counts)]], names=names)
+    one, other, count = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([counts, counts])
+    order = np.lexsort((-count, one))
+    one, other, count = one[order], other[order], count[order]
+    begin = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+    near = np.minimum(begin[:, None] + np.arange(ROUNDS), np.concatenate([begin[1:], [len(one)]])[:, None] - 1).ravel()
+    offsets = pa.array(np.arange(0, len(near) + 1, ROUNDS, dtype=np.int32))
+    best = [pa.ListArray.from_arrays(offsets, pa.array(c[near])) for c in (ids[other], count)]
+    yield pa.record_batch([pa.array(np.full(len(begin), -1)), pa.array(ids[one[begin]]), pa.nulls(len(begin), pa.list_(pa.int64())), *best], names=names)
+
+
+def candidate_pairs(key: np.ndarray, owner: np.ndarray, place: np.ndarray, side: np.ndarray, rare: np.ndarray, n: np.ndarray, roots: np.ndarray, least: float = SIMILARITY, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts i and j of different components with an equal key (they are sorted) at places and of lengths that near copies can have; whether it is rare."""
+    root = roots[owner]
+
+    def possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = owner[x], owner[y]
+        most = ((1 - least) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+        ok = (root[x] != root[y]) & (np.abs(n[i] - n[j]) <= most) & (np.abs(place[x] - place[y]) <= most) & ((side[x] == 0) | (side[x] != side[y]))
+        return i[ok], j[ok], rare[x[ok]]
+
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    stops = np.concatenate([starts[1:], [len(key)]]).astype(np.int64)
+    if len(starts):
+        several = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+        starts, stops = starts[several], stops[several]
+    short = stops - starts <= 64
+    end = np.zeros(len(key), np.int64)
+    for a, b in zip(starts[short].tolist(), stops[short].tolist()):
+        end[a:b] = b
+    live = np.flatnonzero(end)
+    for away in range(1, 64):
+        live = live[live + away < end[live]]
+        if not len(live):
+            break
+        for k in range(0, len(live), step):
+            yield possible(live[k : k + step], live[k : k + step] + away)
+    for a, b in zip(starts[~short].tolist(), stops[~short].tolist()):
+        here = np.arange(a, b)
+        kinds, named = np.unique(root[here], return_inverse=True)
+        main = named == np.argmax(np.bincount(named))
+        lone, most = here[~main], here[main]
+        size = max(1, step // len(here))
+        for k in range(0, len(lone), size):
+            some = lone[k : k + size]
+            yield possible(np.repeat(some, len(most)), np.tile(most, len(some)))
+            x, y = np.repeat(some, len(lone)), np.tile(lone, len(some))
+            yield possible(x[x < y], y[x < y])
+
+
+class Words:
+    """A text's words, and its words and pairs of consecutive words in order, for counting what two texts have in common."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        pairs = words[:-1].astype(np.uint64) << np.uint64(32) | words[1:]
+        self.counted = [np.unique(x, return_counts=True) for x in (words, pairs)]
+
+    def may_match(self, other: Words, least: float = SIMILARITY) -> bool:
+        """Whether the two have enough words, and pairs of them, in common to be near copies."""
+        n, m = len(self.words), len(other.words)
+        most = int((1 - least) * max(n, m) + 1e-9)
+        if abs(n - m) > most:
+            return False
+        for k in (0, 1):
+            (x, count), (y, theirs) = self.counted[k], other.counted[k]
+            if len(x) > len(y):
+                x, count, y, theirs = y, theirs, x, count
+            at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
+            common = int(np.minimum(count, theirs[at])[y[at] == x].sum()) if len(x) else 0
+            if max(n, m) - k - common > (k + 1) * most:
+                return False
+        return True
 
-    def block(x: pa.StructScalar) -> tuple[np.ndarray, ...]:
-        x = x.values
-        return (*(x.field(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "n_words")), np.frombuffer(b"".join(x.field("profile").to_pylist()), np.uint8).reshape(-1, 2 * CELLS))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one, other in zip(batch.column(0), batch.column(1)):
-                same = not other.is_valid
-                left = block(one)
-                cols = list(zip(*not_apart(left, left if same else block(other), same, least))) or [()] * 5
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "ra", "rb", "gap"])
-
-    size = F.floor(F.log("n_words") / (1e-6 - math.log(least))) if least > 0 else F.lit(0)
-    main = crowded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    parts = crowded.join(main, "bucket").select("bucket", "id", "n_words", "root", size.cast("long").alias("size"), (F.col("root") == F.col("main")).alias("inside"))
-    many = parts.groupBy("bucket", "size", "inside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    number = F.xxhash64("bucket", "size", "inside", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    dealt = parts.join(many, ["bucket", "size", "inside"]).select("bucket", "size", "id", "n_words", "root", number.alias("block"))
-    known = words.join(crowded.select("id").distinct(), "id", "left_semi").mapInArrow(profiles, "id long, profile binary")
-    blocks = stash(dealt.join(known, "id").groupBy("block").agg(F.first("bucket").alias("bucket"), F.first("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.collect_list(F.struct("id", "root", "n_words", "profile")).alias("texts")), "blocks")
-    one, other = (blocks.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "size", "low", "high")]) for side in "pq")
-    meet = one.join(other, "bucket").filter("p_block <= q_block and abs(p_size - q_size) <= 1 and (p_low < p_high or q_low < q_high or p_low != q_low)").select("p_block", "q_block")
-    left = meet.join(blocks.select(F.col("block").alias("p_block"), F.col("texts").alias("p")), "p_block")
-    right = blocks.select(F.col("block").alias("q_block"), F.col("texts").alias("q"))
-    alone = left.filter("p_block = q_block").select("p", F.lit(None).cast(right.schema["q"].dataType).alias("q"))
-    both = left.filter("p_block != q_block").join(right, "q_block").select("p", "q")
-    return alone.union(both).mapInArrow(compare, "a long, b long, ra long, rb long, gap long").dropDuplicates(["a", "b"])
+def may_match(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two word sequences have enough words, and pairs of consecutive words, in common to be near copies."""
+    return Words(a).may_match(Words(b), least)
 
 
 def word_lists(ids: DataFrame, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, words) of the documents with these ids: 32-bit hashes of their words in order, as bytes."""
-    wanted = docs.select(docs[doc_id].cast("long").alias("id"), text_or_empty(docs, text).alias("text")).join(ids, "id")
+    """(id, words) of the documents with these ids: 32-bit hashes of their words in order, as bytes.  Texts travel compressed."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in byte_slices(batches, "text", 1 << 20):
-            hashes, counts = word_hashes([x.as_buffer().to_pybytes() for x in batch.column(1)])
+            packed = pa.array([squeeze.compress(x.as_buffer()) for x in batch.column(1)], pa.binary())
+            yield pa.record_batch([batch.column(0), packed], names=["id", "packed"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in byte_slices(batches, "packed", 1 << 18):
+            hashes, counts = word_hashes([unpack.decompress(x.as_buffer()) for x in batch.column(1)])
             low = (hashes >> np.uint64(32)).astype("<u4")
             parts = [x.tobytes() for x in np.split(low, np.cumsum(counts)[:-1])]
             yield pa.record_batch([batch.column(0), pa.array(parts, pa.binary())], names=["id", "words"])
 
+    texts = docs.select(docs[doc_id].cast("long").alias("id"), text_or_empty(docs, text).alias("text")).filter("id is not null")
+    # merge joins, here and below: the same plan at every size
+    wanted = texts.mapInArrow(pack, "id long, packed binary").join(ids.hint("merge"), "id").select("id", "packed")
     return wanted.mapInArrow(words, "id long, words binary").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, words: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b) those whose texts' edit similarity is at least ``least``: (a, b, similarity), written once."""
+def _links(got: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    cols = list(zip(*got)) or [(), (), ()]
+    return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def verified(pairs: DataFrame, words: DataFrame, shelf: Shelf, least: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b, hub) those whose texts' edit similarity is at least ``least``: (a, b, similarity), the shelf's table "verified".
+
+    The pairs of a hub are dealt into squares of about BLOCK texts a side, and a
+    text goes once to each square that needs it.
+    """
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts = None, {}
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = ([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(k)] for k in (2, 3))
-            got = [(i, j, s) for i, j, x, y in zip(a, b, left, right) if may_match(x, y, least) and (s := similar(x, y, least)) is not None]
-            cols = list(zip(*got)) or [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+            keys, ids, others = (batch.column(k).to_pylist() for k in range(3))
+            raw, got = batch.column(3), []
+            for k, (at, i, j) in enumerate(zip(keys, ids, others)):
+                if at != key:
+                    key, texts = at, {}
+                if j is None:
+                    texts[i] = Words(np.frombuffer(raw[k].as_buffer(), "<u4"))
+                elif texts[i].may_match(texts[j], least) and (found := similar(texts[i].words, texts[j].words, least)) is not None:
+                    got.append((i, j, found))
+            yield _links(got)
+
+    pairs = shelf.put(pairs, "pairs")
+    sides = pairs.groupBy("hub").agg(*[F.ceil(F.approx_count_distinct(c) / BLOCK).alias(f"of_{c}") for c in ("a", "b")])
+    cell = F.xxhash64("hub", F.pmod(F.xxhash64("a"), F.col("of_a")), F.pmod(F.xxhash64("b"), F.col("of_b")))
+    dealt = shelf.put(pairs.join(sides, "hub").select(cell.alias("cell"), "a", "b"), "dealt")
+    needed = dealt.select("cell", F.col("a").alias("id")).union(dealt.select("cell", "b")).distinct()
+    texts = needed.hint("merge").join(words, "id").select("cell", "id", F.lit(None).cast("long").alias("other"), "words")
+    rows = texts.union(dealt.select("cell", "a", "b", F.lit(None).cast("binary")))
+    ordered = rows.repartition("cell").sortWithinPartitions("cell", F.col("other").isNotNull())
+    found = shelf.put(ordered.mapInArrow(align, "a long, b long, similarity double"), "verified")
+    shelf.drop("pairs", "dealt")
+    return found
+
+
+def _verified_squares(met: DataFrame, label: DataFrame, words: DataFrame, shelf: Shelf, least: float) -> DataFrame:
+    """Links between texts of two blocks that may be near copies (x, y, a, b): the shelf's table "verified".
+
+    A square gets each text that it needs once.  Pairs are tried in the order
+    given, those that a link of the square has joined are left out.
+    """
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts, top, tried = None, {}, {}, set()
+
+        def find(r: int) -> int:
+            while top.setdefault(r, r) != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
 
-    first = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    second = first.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return stash(second.select("a", "b", "wa", "wb").mapInArrow(align, "a long, b long, similarity double"), "verified")
+        for batch in batches:
+            keys, ids, roots = (batch.column(k).to_pylist() for k in range(3))
+            raw, got = batch.column(3), []
+            for k, at in enumerate(keys):
+                if at != key:
+                    key, texts, top, tried = at, {}, {}, set()
+                if ids[k] is not None:
+                    texts[ids[k]] = roots[k], Words(np.frombuffer(raw[k].as_buffer(), "<u4"))
+                    continue
+                for i, j in zip(*(batch.column(c)[k].values.to_pylist() for c in (4, 5))):
+                    (ri, x), (rj, y) = texts[i], texts[j]
+                    if find(ri) == find(rj) or (i, j) in tried:
+                        continue
+                    tried.add((i, j))
+                    if x.may_match(y, least) and (s := similar(x.words, y.words, least)) is not None:
+                        got.append((i, j, s))
+                        top[find(ri)] = find(rj)
+                if len(tried) > 1 << 20:
+                    tried = set()
+            yield _links(got)
+
+    ends = met.select("x", "y", F.explode(F.array_union("a", "b")).alias("id")).distinct()
+    texts = ends.join(label, "id").hint("merge").join(words, "id")
+    none = F.lit(None)
+    rows = texts.select("x", "y", "id", "root", "words", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b"))
+    rows = rows.union(met.select("x", "y", none.cast("long"), none.cast("long"), none.cast("binary"), "a", "b"))
+    ordered = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.col("id").isNull()).select(F.struct("x", "y").alias("key"), "id", "root", "words", "a", "b")
+    return shelf.put(ordered.mapInArrow(align, "a long, b long, similarity double"), "verified")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -427,19 +709,23 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
     is the largest of their class; an empty table gives an empty result.  Other
     columns are not read.
     """
-    table = stash(sketch_table(docs, text, doc_id), "sketches")
-    named = table.filter("doc_id is not null")
-    reps = named.groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select("digest", F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
-    root = near_roots(reps.select("id", "n_words", "sketch"), docs, least, text=text, doc_id=doc_id)
-    of = reps.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    lone = F.col("doc_id").isNull()
-    known = table.select("doc_id", "digest").join(of, "digest", "left")
-    return known.select("doc_id", F.when(~lone, F.col("class_id")).alias("class_id"), (lone | (F.col("doc_id") == F.col("class_id"))).alias("kept"))
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be over 0.5 and at most 1")
+    with Shelf(docs.sparkSession) as shelf:
+        table = shelf.put(sketch_table(docs, text, doc_id), "sketches")
+        named = table.filter("doc_id is not null")
+        reps = named.groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select("digest", F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
+        reps = shelf.put(reps, "reps")
+        root = near_roots(reps.select("id", "n_words", "sketch"), docs, shelf, least, text=text, doc_id=doc_id)
+        of = reps.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
+        lone = F.col("doc_id").isNull()
+        known = table.select("doc_id", "digest").join(of, "digest", "left")
+        return stash(known.select("doc_id", F.when(~lone, F.col("class_id")).alias("class_id"), (lone | (F.col("doc_id") == F.col("class_id"))).alias("kept")), "near")
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their own columns; of repeated rows with one id, one."""
-    verdict = stash(near_classes(docs, least, text, doc_id).filter("kept"), "near")
+    verdict = near_classes(docs, least, text, doc_id).filter("kept")
     gone = stash(verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_tl_n")), "near-ids")
     key = docs[doc_id].cast("long").alias("_tl_id")
     rows = docs.select(*docs.columns, key).join(gone.select(F.col("doc_id").alias("_tl_id"), "_tl_n"), "_tl_id", "left")
