@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import BATCH_BYTES, byte_slices, stash, text_or_empty
-from tideline.llm.token_counts import safe_parts
-from tideline.llm.words import TABLE_WORDS, word_table
+from tideline.llm.common import safe_parts
+from tideline.llm.words import TABLE_BYTES, word_table
 
 #: Pieces in one part of a length's ranking, about; each length has the same number of parts.
 RANK_ROWS = 50_000
@@ -182,11 +182,11 @@ def _slots(groups: list[Group]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "per", "sequence", "at"), cols))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, table_words: int = TABLE_WORDS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 [, ids]: each document's ids and ``end_id``, cut only if longer than ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(tokenizer, True, table_words)
+        table = word_table(tokenizer, True, table_bytes)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in byte_slices(batches, "text", BATCH_BYTES // 2):
             rows: list[tuple] = []

@@ -13,25 +13,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import BATCH_BYTES, byte_slices, text_or_empty
-from tideline.llm.words import TABLE_WORDS, word_table
+from tideline.llm.common import BATCH_BYTES, byte_slices, safe_parts, text_or_empty
+from tideline.llm.words import TABLE_BYTES, word_table
 
-WHITE = b" \t\n\r\x0b\x0c"
 
-
-def safe_parts(text: bytes, size: int) -> Iterator[bytes]:
-    """Cut at ASCII white space into parts of about ``size`` bytes; a longer word stays whole."""
-    start = 0
-    while len(text) - start > size:
-        found = [k for w in WHITE if (k := text.find(bytes([w]), start + size)) >= 0]
-        if not found:
-            break
-        yield text[start : min(found)]
-        start = min(found)
-    yield text[start:]
-
-
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", doc_id: str = "doc_id", split_bytes: int = BATCH_BYTES, table_words: int = TABLE_WORDS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str = "text", doc_id: str = "doc_id", split_bytes: int = BATCH_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Defined cases: a null text counts as empty and has 0 tokens; a null doc_id
@@ -40,7 +26,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(tokenizer, False, table_words)
+        table = word_table(tokenizer, False, table_bytes)
         for batch in byte_slices(batches, "text", split_bytes):
             n_bytes, n_tokens = [], []
             rows = [x.as_buffer() for x in batch.column(1)]

@@ -1,10 +1,10 @@
 """Tables of distinct words for tokenizers whose pieces never cross white space.
 
 A worker keeps one table for each tokenizer file across its tasks: every
-distinct word is segmented once by the library, texts are then put together
-from the table by position.  What a table drops when it has grown
-beyond its bound is segmented anew when it comes again, which costs time but
-never changes a result.
+distinct word is segmented once by the library, a batch's new words in one
+call; texts are then put together from the table by position.  What a table
+drops when it has grown beyond its bound is segmented anew when it comes again,
+which costs time but never changes a result.
 """
 
 from __future__ import annotations
@@ -12,94 +12,137 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
-
-#: Distinct words in each of the two generations of a worker's table.
-TABLE_WORDS = 500_000
+from collections.abc import Iterable, Iterator
+
+#: Bytes that each of the two generations of a worker's table takes, about; bytes of a word from which on it is kept for its batch only.
+TABLE_BYTES = 64 << 20
+LONG_WORD = 64
+#: Bytes of an entry besides its word and value, about.
+_ENTRY = 150
+#: Bytes of words that go to the library in one call.
+_CALL = 1 << 20
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and following.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
-_TABLES: dict[tuple, WordTable] = {}
+_TABLES: dict[tuple, WordTable | PieceTable] = {}
+
+
+class Generations:
+    """Values of words, in two generations: when the younger is full, the older is dropped, so words in use stay known.
+
+    Long words are known for one batch only: text without white space is one
+    word, and seldom comes again.
+    """
+
+    def __init__(self, bound: int):
+        self.bound = bound
+        self.known: dict = {}
+        self.older: dict = {}
+        self.brief: dict = {}
+        self.size = 0
+
+    def missing(self, words: set) -> list:
+        """Those of a batch's words that are in neither generation; the others are known from now on."""
+        self.brief = {}
+        if self.size > self.bound:
+            self.older, self.known, self.size = self.known, {}, 0
+        out = []
+        for w in words - self.known.keys():
+            got = self.older.get(w)
+            if got is None:
+                out.append(w)
+            else:
+                self.keep(w, got)
+        return out
+
+    def keep(self, word, value) -> None:
+        if len(word) > LONG_WORD:
+            self.brief[word] = value
+        else:
+            self.known[word] = value
+            self.size += _ENTRY + len(word) + (sum(map(len, value)) if isinstance(value, tuple) else len(value) if isinstance(value, bytes) else 0)
 
+    def lookup(self, words: list) -> Iterable:
+        if not self.brief:
+            return map(self.known.__getitem__, words)
+        known, brief = self.known, self.brief
+        return [known[w] if w in known else brief[w] for w in words]
 
-class WordTable:
-    """Ids of the word-level BPE of a tokenizers .json file, word by word.
+
+class WordTable(Generations):
+    """Ids (as bytes), or their number, of the word-level BPE of a tokenizers .json file, word by word.
 
     Words are split at ASCII white space only, which the tokenizer's own
     pattern always drops; any other white space stays inside a word and is left
-    to the library.  ASCII letters are lowered first, as the tokenizer does.
+    to the library.  Words of ASCII alone are lowered first, as the tokenizer
+    does; others may compose before they are lowered, so they are left alone.
     A word's closing run of ASCII punctuation is a token group of its own in
-    the tokenizer's pattern, so it is looked up apart.  A word of letters that
-    normalization leaves alone goes straight to the library's BPE model, in
-    the byte-level alphabet; every other word goes through the whole tokenizer.
-    Texts that hold "<|" are not lowered and their words with it not divided,
-    so special strings are handled as the library does by default.
-
-    The table has two generations: when the younger is full, the older is
-    dropped, so words in use stay known.
+    the tokenizer's pattern, so it is looked up apart.  Texts that hold "<|" are
+    not lowered and their words with it not divided, so special strings are
+    handled as the library does by default.
     """
 
-    def __init__(self, path: str, as_ids: bool, bound: int):
+    def __init__(self, path: str, as_ids: bool, bound: int = TABLE_BYTES):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__(bound)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.bound, self.as_ids = bound, as_ids
-        self.known: dict[bytes, int | bytes] = {}
-        self.older: dict[bytes, int | bytes] = {}
+        self.as_ids = as_ids
 
     def split(self, text: bytes) -> list[bytes]:
-        return (text if b"<|" in text else text.lower()).split()
+        if b"<|" in text:
+            return text.split()
+        if text.isascii():
+            return text.lower().split()
+        return [w.lower() if w.isascii() else w for w in text.split()]
 
     def learn(self, words: set[bytes]) -> None:
         """See to it that the table holds these words."""
-        new = words - self.known.keys()
-        if not new:
-            return
-        if len(self.known) + len(new) > self.bound:
-            self.older, self.known = self.known, {}
-            new = words
-        older, known = self.older, self.known
-        for w in new:
-            got = older.get(w)
-            if got is None:
-                got = self._segment(w)
-            known[w] = got
-
-    def _segment(self, word: bytes):
+        new = self.missing(words)
+        halves = {w: self._halves(w) for w in new}
+        parts = dict.fromkeys(p for pair in halves.values() for p in pair)
+        found = {}
+        for part in parts:
+            if (got := self.known.get(part)) is not None:
+                found[part] = got
+        found.update(self._segmented([p for p in parts if p not in found]))
+        for w, pair in halves.items():
+            value = found[pair[0]]
+            for p in pair[1:]:
+                value = value + found[p]
+                if len(p) <= LONG_WORD and p not in self.known:
+                    self.keep(p, found[p])
+            self.keep(w, value)
+
+    def _halves(self, word: bytes) -> tuple[bytes, ...]:
         base = word if b"<|" in word else word.rstrip(PUNCTUATION)
         if base and len(base) < len(word):
             text = base.decode("utf-8", "ignore")
             if text and unicodedata.normalize("NFC", text[-1]).lower()[-1].isalnum():
-                return self._cached(base) + self._cached(word[len(base) :])
-        return self._whole(word)
-
-    def _cached(self, part: bytes):
-        got = self.known.get(part)
-        if got is None:
-            got = self.known[part] = self._whole(part)
-        return got
-
-    def _whole(self, word: bytes):
-        text = word.decode()
-        if text.isalpha() and (text.isascii() and text.islower() or unicodedata.is_normalized("NFC", text) and all(c.lower() == c for c in text)):
-            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_ALPHABET))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids) if self.as_ids else len(ids)
-
-    def lookup(self, words: list[bytes]):
-        return map(self.known.__getitem__, words)
-
-
-def word_table(path: str, as_ids: bool, bound: int = TABLE_WORDS) -> WordTable:
+                return base, word[len(base) :]
+        return (word,)
+
+    def _segmented(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes | int]]:
+        start = 0
+        while start < len(words):
+            stop, size = start, 0
+            while stop < len(words) and (stop == start or size < _CALL):
+                size += len(words[stop])
+                stop += 1
+            for w, e in zip(words[start:stop], self.tokenizer.encode_batch_fast([w.decode() for w in words[start:stop]], add_special_tokens=False)):
+                yield w, struct.pack(f"<{len(e)}I", *e.ids) if self.as_ids else len(e)
+            start = stop
+
+
+def word_table(path: str, as_ids: bool, bound: int = TABLE_BYTES) -> WordTable:
     key = (path, as_ids, bound)
     if key not in _TABLES:
         _TABLES[key] = WordTable(path, as_ids, bound)
     return _TABLES[key]
 
 
-class PieceTable:
+class PieceTable(Generations):
     """Ids and decoded bytes of a sentencepiece model, one entry for each distinct marked word.
 
     A marked word is a run of markers (escaped spaces) with what follows up to
@@ -111,9 +154,10 @@ class PieceTable:
     MARK = "▁"
     SPLIT = re.compile(r" *[^ ]+| +")
 
-    def __init__(self, path: str, bound: int):
+    def __init__(self, path: str, bound: int = TABLE_BYTES):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
+        super().__init__(bound)
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -123,9 +167,6 @@ class PieceTable:
             raise ValueError(f"{path}: pieces may cross markers, or the normalizer changes texts")
         self.sp = SentencePieceProcessor(model_file=path)
         self.lead = self.sp.piece_to_id("a")
-        self.bound = bound
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Marked words without their first marker; joined by one space each they give the text."""
@@ -139,31 +180,21 @@ class PieceTable:
 
     def learn(self, words: set[str]) -> None:
         """See to it that the table holds these words."""
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > self.bound:
-            self.older, self.known = self.known, {}
-            new = words
-        part = []
-        for w in new:
-            got = self.older.get(w)
-            if got is None:
-                part.append(w)
-            else:
-                self.known[w] = got
+        part = self.missing(words)
         ids = [x if w else [self.sp.piece_to_id(self.MARK)] for w, x in zip(part, self.sp.encode(part, num_threads=1))]
         # a leading letter keeps decode() from taking the first marker for the dummy prefix
         texts = self.sp.decode([[self.lead, *x] for x in ids]) if part else []
         for w, x, t in zip(part, ids, texts):
-            self.known[w] = ((",".join(map(str, x)) + ",").encode(), t[1:].encode())
+            self.keep(w, ((",".join(map(str, x)) + ",").encode(), t[1:].encode()))
 
     def encode(self, chunks: list[str]) -> tuple[int, bytes, bytes]:
         """Number of ids, decimal ids joined by commas, decoded text in UTF-8."""
-        got = list(map(self.known.__getitem__, chunks))
+        got = list(self.lookup(chunks))
         ids = b"".join([x[0] for x in got])
         return ids.count(b","), ids[:-1], b"".join([x[1] for x in got])[1:]
 
 
-def piece_table(path: str, bound: int = TABLE_WORDS) -> PieceTable:
+def piece_table(path: str, bound: int = TABLE_BYTES) -> PieceTable:
     if (path, bound) not in _TABLES:
         _TABLES[path, bound] = PieceTable(path, bound)
     return _TABLES[path, bound]
