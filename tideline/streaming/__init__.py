@@ -1,5 +1 @@
-"""The analytics work on batches of months; there is no streaming operator of their own.
-
-Site-month counts are additive, so a stream of events can be kept up to date
-with ``sources`` and ``operators.counts`` through ``foreachBatch``.
-"""
+"""Month counts of event streams."""
