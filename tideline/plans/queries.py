@@ -647,8 +647,8 @@ FAILURES = f"""{RATIOS}, p AS (SELECT *, row_number() OVER (ORDER BY {uniform_sq
 
 @query(f"""WITH {FAILURES}, lost AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql("'row/pool'", "studyid", "siteid", "subjid")}, studyid, siteid, subjid) AS i, count(*) OVER () AS n FROM who WHERE enrollyn = 'N'),
     seats AS (SELECT studyid, siteid, unnest(generate_series(1, x)) AS k FROM f WHERE x > 0),
-    at AS (SELECT studyid, siteid, CAST(floor({uniform_sql("'row'", "studyid", "siteid", "k")} * (SELECT max(n) FROM lost)) AS BIGINT) + 1 AS i FROM seats)
-    SELECT * FROM who WHERE enrollyn = 'Y' UNION ALL SELECT at.studyid, invid, subjid, enrollyn, at.siteid FROM at JOIN lost ON lost.i = at.i""")
+    placed AS (SELECT studyid, siteid, CAST(floor({uniform_sql("'row'", "studyid", "siteid", "k")} * (SELECT max(n) FROM lost)) AS BIGINT) + 1 AS i FROM seats)
+    SELECT * FROM who WHERE enrollyn = 'Y' UNION ALL SELECT placed.studyid, invid, subjid, enrollyn, placed.siteid FROM placed JOIN lost ON lost.i = placed.i""")
 def screening_failures_rows(spark, sf_dir):
     source = raw_domains(spark, sf_dir)["Raw_SUBJ"]
     return simulate.add_screening_failures(source.filter("enrollyn = 'Y'"), source, seed=SEED, order=["studyid", "siteid", "subjid"], method="md5")
