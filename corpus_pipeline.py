@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's docs.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; further columns of the input, whatever
+their names, are passed on.  An empty table gives an empty result of the same
+columns.  Rows that share a doc_id are rows of their own until a stage says
+otherwise.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import language_id
-from tideline.llm.common import stash
+from tideline.llm.common import Shelf, stash
 from tideline.llm.exact_dedup import drop_copies
 from tideline.llm.order_minhash import drop_near_copies
 from tideline.llm.packing import pack
@@ -24,28 +27,46 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model learns from the rows given, as op7 does: labels of a bounded
     sample whose crc32(doc_id) mod 3 is not 1.  A document's ``lang`` stays what
-    the table says; where that is null it becomes the predicted one.
+    the table says; where that is null it becomes the predicted one.  A null
+    text has no letter; a null doc_id doesn't matter but that its row is not
+    learned from; repeated rows are judged each.
     """
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays.
+
+    Null and empty texts are equal; a null doc_id is smaller than any other; of
+    rows that share text and doc_id one stays.
+    """
     return drop_copies(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the largest doc_id."""
+    """One document of each group of near copies stays, the one with the largest doc_id.
+
+    Null texts count as empty; rows with a null doc_id are compared with none
+    and stay; of rows that share the doc_id of a group one stays.
+    """
     return drop_near_copies(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by the mask of its kind; n_chars follows."""
+    """Personal data in texts is replaced by the mask of its kind; n_chars follows.
+
+    Null texts stay null, and their n_chars becomes null; ids are not read;
+    repeated rows are masked each.
+    """
     return mask_pii(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens.
+
+    A null text is a piece of the end id alone; a null doc_id stays null;
+    repeated rows are packed each.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -62,7 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``; each stage's table is removed once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Shelf(spark) as shelf:
+        for _, stage in STAGES[:-1]:
+            docs = shelf.put(stage(spark, docs, sf_dir), "stage")
+        return stash(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
