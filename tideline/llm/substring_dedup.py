@@ -12,21 +12,28 @@ with one anchor, with the bytes that their strings cover.
    twice or more are repeated, and one segment stands for the others.
 3. Of the rest, those that share an anchor with a different segment are fetched
    and range-partitioned by the leading bytes of the anchor's suffix, with
-   Spark's sampled splitters.  Each range sorts the suffixes of its segments by
-   multikey quicksort, eight bytes a character, to a depth of 200 bytes; equal
-   neighbours are repeated strings.  A range ends only between different
-   leading bytes, which are part of every string that could match, so no equal
-   neighbours lie on two sides of a boundary.
-4. An anchor with more than ``CROWD`` different segments (a passage in very many
-   documents has two at its edges in each) is not gathered in a task: its
-   strings are counted by their 128-bit hashes, combined before the shuffle.
-
-Texts travel compressed, and twice: for step 3 and for the result.
+   Spark's sampled splitters.  Each range sorts the suffixes of its segments
+   eight bytes a character, going on into equal ones only, to a depth of 200
+   bytes; equal neighbours are repeated strings.  A range ends only between
+   different leading bytes, which are part of every string that could match, so
+   no equal neighbours lie on two sides of a boundary.
+4. The suffixes of an anchor with very many different segments (a passage in
+   very many documents has two at its edges in each) are dealt on by their own
+   leading bytes, into as many parts as it takes to keep each at about ``crowd``
+   segments; a segment goes to a part with the starts that belong there.  Before
+   that, equal suffixes of a batch are marked and go on as one.  A part that is
+   still large is sorted in steps, of which each passes on one of each different
+   suffix.
+
+Segments count as equal if 64-bit hashes of their anchors and 128-bit hashes of
+their bytes agree; suffixes are compared by their bytes.  Texts travel
+compressed, and twice: for step 3 and for the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +43,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import byte_slices, stash, text_or_empty
+from tideline.llm.common import Shelf, byte_slices, stash, text_or_empty
 
 LENGTH = 200
 GRAM = 32
-CROWD = 2000
+CROWD = 500
 _CHUNK = 1 << 20
+#: Bytes of segments whose suffixes are sorted in one step; suffixes of crowded anchors that are dealt in one.
+_SORT = 24 << 20
+_DEAL = 400_000
 #: Bytes of text a Python step works on at a time; its arrays take some 150 bytes for each.
 _STEP = 1 << 18
 
@@ -100,7 +110,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes,
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
-    """key, gram, body (hashes of anchor and bytes), at (packed start, starts, place of the anchor) of every segment."""
+    """key, gram, body, more (hashes of anchor and bytes), at (packed start, starts, place of the anchor) of every segment."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text", _STEP):
@@ -111,16 +121,16 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
                 if len(whole) < length or not valid.any():
                     continue
                 first, n, anchor, gram = segments(np.frombuffer(whole, np.uint8), valid, length)
-                body = np.array([xxhash.xxh3_64_intdigest(whole[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist())], np.uint64)
+                body = np.frombuffer(b"".join([xxhash.xxh3_128_digest(whole[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist())]), np.int64).reshape(-1, 2)
                 start = first - begins[owner[first]] + base
                 at = (start << 20) | (n << 10) | (anchor - first)
-                yield pa.record_batch([pa.array(keys[owner[first]]), pa.array(gram.view(np.int64)), pa.array(body.view(np.int64)), pa.array(at)], names=["key", "gram", "body", "at"])
+                yield pa.record_batch([pa.array(keys[owner[first]]), pa.array(gram.view(np.int64)), pa.array(np.ascontiguousarray(body[:, 0])), pa.array(np.ascontiguousarray(body[:, 1])), pa.array(at)], names=["key", "gram", "body", "more", "at"])
 
-    return docs.mapInArrow(cut, "key long, gram long, body long, at long")
+    return docs.mapInArrow(cut, "key long, gram long, body long, more long, at long")
 
 
 def repeated_starts(whole: bytes, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the strings whole[s : s + length] equal another: multikey quicksort, eight bytes a character."""
+    """Which of the strings whole[s : s + length] equal another: sorted by eight bytes a character, equal ones by the next."""
     raw = np.frombuffer(whole + b"\0" * 8, np.uint8)
     words = np.lib.stride_tricks.sliding_window_view(raw, 8)
     active, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
@@ -145,77 +155,127 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_groups(length: int):
-    """For rows (lead, gram, key, at, single, bytes) in the order of lead and gram: repeated ranges of the single ones."""
-
-    def flush(rows: list[tuple]) -> pa.RecordBatch:
-        whole, starts, owner, at = [], [], [], 0
-        for k, (_, _, _, _, body) in enumerate(rows):
-            n = len(body) - length + 1
-            starts.append(np.arange(at, at + n))
-            owner.append(np.full(n, k))
-            whole.append(body)
+    """For rows (gram, part, key, first, single, starts, bytes) in the order of gram and part: repeated ranges of the single ones."""
+
+    def flush(rows: list[tuple], last: bool) -> tuple[list[tuple[int, int]], list[tuple]]:
+        """Spans (key, span); unless it is the ``last`` step of a group, one row of each different suffix too."""
+        starts, owner, at = [], [], 0
+        for k, (_, _, _, _, _, chosen, body) in enumerate(rows):
+            own = np.arange(len(body) - length + 1) if chosen is None else np.frombuffer(chosen, "<u2").astype(np.int64)
+            starts.append(at + own)
+            owner.append(np.full(len(own), k))
             at += len(body)
-        hit = repeated_starts(b"".join(whole), np.concatenate(starts), length)
-        keys, spans, done = [], [], 0
-        for k, (_, key, first, single, body) in enumerate(rows):
-            n = len(body) - length + 1
-            if single:
-                for a, b in _runs(hit[done : done + n]):
-                    keys.append(key)
-                    spans.append(((first + a) << 32) | (first + b - 1 + length))
-            done += n
-        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(spans, pa.int64())], names=["key", "span"])
+        whole, starts, owner = b"".join(r[6] for r in rows), np.concatenate(starts), np.concatenate(owner)
+        begin = np.cumsum([0] + [len(r[6]) for r in rows[:-1]])
+        hit = repeated_starts(whole, starts, length)
+        spans = []
+        single = np.array([r[4] for r in rows])[owner]
+        for k in np.unique(owner[hit & single]).tolist():
+            own = starts[(owner == k) & hit] - begin[k]
+            breaks = np.flatnonzero(np.diff(own) > 1)
+            for x, y in zip([0, *(breaks + 1).tolist()], [*breaks.tolist(), len(own) - 1]):
+                spans.append((rows[k][2], (rows[k][3] + int(own[x])) << 32 | (rows[k][3] + int(own[y]) + length)))
+        rest = []
+        if not last:
+            seen = set()
+            for s, k, again in zip(starts.tolist(), owner.tolist(), hit.tolist()):
+                string = whole[s : s + length]
+                if string not in seen:
+                    seen.add(string)
+                    rest.append((*rows[k][:3], rows[k][3] + s - int(begin[k]), rows[k][4] and not again, None, string))
+        return spans, rest
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        rows, size, grown = [], 0, _SORT
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gram", "key", "first", "single", "bytes")]
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("gram", "part", "key", "first", "single", "starts", "bytes")]
+            spans: list[tuple[int, int]] = []
             for row in zip(*cols):
-                if size > _STEP and row[0] != rows[-1][0]:
-                    yield flush(rows)
-                    rows, size = [], 0
+                if rows and size > _STEP and row[:2] != rows[-1][:2]:
+                    spans += flush(rows, True)[0]
+                    rows, size, grown = [], 0, _SORT
+                elif size > grown:
+                    of = [r for r in rows if r[:2] == row[:2]]
+                    if len(of) < len(rows):
+                        spans += flush([r for r in rows if r[:2] != row[:2]], True)[0]
+                        rows = of
+                    found, rows = flush(rows, False)
+                    spans += found
+                    size = sum(len(r[6]) for r in rows)
+                    grown = size + _SORT
                 rows.append(row)
-                size += len(row[4])
-        if rows:
-            yield flush(rows)
+                size += len(row[6])
+            yield pa.record_batch([pa.array([k for k, _ in spans], pa.int64()), pa.array([x for _, x in spans], pa.int64())], names=["key", "span"])
+        spans = flush(rows, True)[0] if rows else []
+        yield pa.record_batch([pa.array([k for k, _ in spans], pa.int64()), pa.array([x for _, x in spans], pa.int64())], names=["key", "span"])
 
     return sort
 
 
-def _window_hashes(length: int):
-    """For crowded anchors: two hashes of each string, with its key and start."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "first", "single", "bytes")]
-            for key, first, single, body in zip(*cols):
-                n = len(body) - length + 1
-                got = [xxhash.xxh3_128_digest(body[k : k + length]) for k in range(n)]
-                yield pa.record_batch([pa.array(got, pa.binary()), pa.array([key] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array([single] * n)], names=["hash", "key", "start", "single"])
-
-    return hashes
-
-
 def _fetch(length: int):
-    """For rows (key, packed, segments): the bytes of each segment."""
+    """For rows (key, packed, segments): the bytes of each segment, those of crowded anchors by part; spans found on the way."""
+    names = ["lead", "gram", "part", "key", "first", "single", "starts", "bytes", "span"]
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
+            crowd: list[tuple] = []
+            held = 0
             for k in range(batch.num_rows):
                 key, packed, wanted = (batch.column(batch.schema.get_field_index(c))[k] for c in ("key", "packed", "wanted"))
-                text = unpack.decompress(packed.as_py())
-                out = []
+                text, out = unpack.decompress(packed.as_py()), []
                 for x in wanted.as_py():
                     first, n, place = x["at"] >> 20, x["at"] >> 10 & 1023, x["at"] & 1023
-                    out.append((text[first + place : first + place + 16], x["gram"], key.as_py(), first, x["single"], x["crowded"], text[first : first + n + length - 1]))
-                cols = list(zip(*out))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["lead", "gram", "key", "first", "single", "crowded", "bytes"])
+                    row = (text[first + place : first + place + 16], x["gram"], x["parts"], key.as_py(), first, x["single"], text[first : first + n + length - 1])
+                    if x["parts"] > 1:
+                        crowd.append(row)
+                        held += n
+                    else:
+                        out.append((*row[:2], 0, *row[3:6], None, row[6], None))
+                if held > _DEAL or crowd and k == batch.num_rows - 1:
+                    out += _dealt(crowd, length)
+                    crowd, held = [], 0
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
     return fetch
 
 
+def _dealt(crowd: list[tuple], length: int) -> list[tuple]:
+    """Segments of crowded anchors by the parts of their suffixes, with the starts there; of equal suffixes in these one goes on, and the spans of the others."""
+    whole = b"".join(r[6] for r in crowd)
+    begin = np.cumsum([0] + [len(r[6]) for r in crowd[:-1]])
+    sizes = np.array([len(r[6]) - length + 1 for r in crowd])
+    owner = np.repeat(np.arange(len(crowd)), sizes)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    starts = begin[owner] + place
+    hit = repeated_starts(whole, starts, length)
+    single = np.array([r[5] for r in crowd])
+    out: list[tuple] = []
+    goes, known = np.ones(len(starts), bool), single[owner] & ~hit
+    seen: set[bytes] = set()
+    for i in np.flatnonzero(hit).tolist():
+        string = whole[starts[i] : starts[i] + length]
+        goes[i] = string not in seen
+        seen.add(string)
+    part = np.array([zlib.crc32(whole[x : x + 16]) for x in starts.tolist()], np.int64) % np.array([r[2] for r in crowd], np.int64)[owner] + 1
+    stops = np.cumsum(sizes).tolist()
+    for r, n, stop in zip(crowd, sizes.tolist(), stops):
+        here = slice(stop - n, stop)
+        if r[5]:
+            for x, y in _runs(hit[here]):
+                out.append((b"", 0, -1, r[3], 0, False, None, None, (r[4] + x) << 32 | (r[4] + y - 1 + length)))
+        for is_single in (True, False):
+            mine = np.flatnonzero(goes[here] & (known[here] == is_single))
+            of = part[here][mine]
+            for p in np.unique(of).tolist():
+                chosen = mine[of == p]
+                low, high = int(chosen[0]), int(chosen[-1]) + length
+                out.append((r[0], r[1], p, r[3], r[4] + low, is_single, (chosen - low).astype("<u2").tobytes(), r[6][low:high], None))
+    return out
+
+
 def _result(length: int):
     """For rows (doc_id, packed, spans): what is removed and what is kept."""
 
@@ -266,27 +326,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, te
             packed = pa.array([squeeze.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())
             yield pa.record_batch([batch.column(0), batch.column(1), packed], names=["doc_id", "key", "packed"])
 
-    found = _segment_rows(keyed.select("key", "text"), length)
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    rows = stash(found.join(often, "gram", "left_semi"), "segments")
-    bodies = rows.groupBy("gram", "body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    bodies = stash(bodies, "bodies")
-    groups = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).filter("different > 1 and least = 1")
-    copies = rows.join(bodies.filter("n > 1").select("gram", "body"), ["gram", "body"], "left_semi")
-    whole = copies.select("key", F.expr("shiftleft(shiftright(at, 20), 32) | (shiftright(at, 20) + (shiftright(at, 10) & 1023) + %d)" % (length - 1)).alias("span"))
-    single = F.col("n") == 1
-    wanted = bodies.join(groups, "gram").select(F.col("one.key").alias("key"), F.struct("gram", F.col("one.at").alias("at"), single.alias("single"), (F.col("different") > crowd).alias("crowded")).alias("w"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
     texts = keyed.mapInArrow(pack, "doc_id long, key long, packed binary")
-    once = texts.select("key", "packed").dropDuplicates(["key"]) if _may_repeat(keyed) else texts.select("key", "packed")
-    fetched = stash(once.join(wanted, "key").select("key", "packed", "wanted").mapInArrow(_fetch(length), "lead binary, gram long, key long, first long, single boolean, crowded boolean, bytes binary"), "fetched")
-    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sortable = fetched.filter("not crowded").repartitionByRange(ranges, "lead").sortWithinPartitions("lead", "gram")
-    sorted_spans = sortable.select("gram", "key", "first", "single", "bytes").mapInArrow(_sort_groups(length), "key long, span long")
-    windows = fetched.filter("crowded").select("key", "first", "single", "bytes").mapInArrow(_window_hashes(length), "hash binary, key long, start long, single boolean")
-    twice = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    crowded_spans = windows.filter("single").join(twice, "hash", "left_semi").select("key", F.expr(f"shiftleft(start, 32) | (start + {length})").alias("span"))
-    spans = whole.union(sorted_spans).union(crowded_spans).groupBy("key").agg(F.collect_set("span").alias("spans"))
+    with Shelf(docs.sparkSession) as shelf:
+        found = _segment_rows(keyed.select("key", "text"), length)
+        often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+        rows = shelf.put(found.join(often, "gram", "left_semi"), "segments")
+        bodies = rows.groupBy("gram", "body", "more").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
+        bodies = shelf.put(bodies, "bodies")
+        groups = bodies.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least")).filter("different > 1 and least = 1")
+        copies = rows.join(bodies.filter("n > 1").select("gram", "body", "more"), ["gram", "body", "more"], "left_semi")
+        whole = copies.select("key", F.expr("shiftleft(shiftright(at, 20), 32) | (shiftright(at, 20) + (shiftright(at, 10) & 1023) + %d)" % (length - 1)).alias("span"))
+        parts = F.ceil(F.col("different") / crowd).cast("int").alias("parts")
+        wanted = bodies.join(groups, "gram").select(F.col("one.key").alias("key"), F.struct("gram", F.col("one.at").alias("at"), (F.col("n") == 1).alias("single"), parts).alias("w"))
+        wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+        once = texts.select("key", "packed").dropDuplicates(["key"]) if _may_repeat(keyed) else texts.select("key", "packed")
+        schema = "lead binary, gram long, part int, key long, first long, single boolean, starts binary, bytes binary, span long"
+        fetched = shelf.put(once.join(wanted, "key").select("key", "packed", "wanted").mapInArrow(_fetch(length), schema), "fetched")
+        ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        sortable = fetched.filter("span is null").repartitionByRange(ranges, "lead", "gram", "part").sortWithinPartitions("lead", "gram", "part")
+        sorted_spans = sortable.select("gram", "part", "key", "first", "single", "starts", "bytes").mapInArrow(_sort_groups(length), "key long, span long")
+        sorted_spans = sorted_spans.union(fetched.filter("span is not null").select("key", "span"))
+        spans = stash(whole.union(sorted_spans).groupBy("key").agg(F.collect_set("span").alias("spans")), "spans")
     joined = texts.join(spans, "key", "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(_result(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
