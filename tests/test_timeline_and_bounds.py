@@ -116,3 +116,44 @@ def test_reference_targets(spark, three):
     assert {r["BootstrapCount"] for r in bounds.predict_bounds(three, None, 100, bootstrap_table=reps).collect()} == {7}
     with pytest.raises(ValidationError, match="funCompute is not a function"):
         bounds.predict_bounds_ref(three, ref, 5, compute=3)
+
+
+def test_what_a_warning_names(spark, three):
+    kinds = spark.createDataFrame([(f"type {k:02d}", 1) for k in range(30)], "DenominatorType string, Numerator_k1 int")
+    text = bounds.input_context(kinds)
+    assert text.startswith(" KRI: k1. DenominatorType: type 00, ") and "type 29." in text
+    ref = spark.createDataFrame([(f"T{k:03d}", "NONE") for k in range(120)], "study string, studyref string")
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        assert bounds.predict_bounds_ref(three, ref, 2).collect() == []
+    texts = [str(w.message) for w in seen]
+    assert sum(t.startswith("Skipping study") for t in texts) == 120
+    assert any(t.startswith("No results produced: no reference studies found in data for any target study.") for t in texts)
+
+
+def test_messages_with_counts(three, caplog):
+    with caplog.at_level("INFO", logger="tideline.operators.bounds"):
+        bounds.predict_bounds(three, None, 2)
+        bounds.predict_bounds_ref_set(three, None, 2)
+        bounds.predict_bounds_ref_set(three, ["A", "B"], 2, min_groups=4)
+    assert [r.getMessage() for r in caplog.records] == [
+        "Using all 3 studies found in dfInput",
+        "No vStudyFilter specified. Using all 3 studies.",
+        "Calculated minimum group count: 8",
+        "Using provided minimum group count: 4",
+    ]
+
+
+def test_default_draws(three):
+    """Draws by the default hash: as many as groups in every replicate, the same each time, no group favoured."""
+    weights = bootstrap.bootstrap_weights(three, 400, seed=3)
+    rows = weights.collect()
+    per_rep = {}
+    for r in rows:
+        per_rep[r["StudyID"], r["BootstrapRep"]] = per_rep.get((r["StudyID"], r["BootstrapRep"]), 0) + r["Weight"]
+    assert set(per_rep.values()) == {8, 10, 12} and len(per_rep) == 3 * 400
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, bootstrap.bootstrap_weights(three.repartition(7), 400, seed=3).collect()))
+    total = {}
+    for r in rows:
+        total[r["StudyID"], r["GroupID"]] = total.get((r["StudyID"], r["GroupID"]), 0) + r["Weight"]
+    assert all(330 < n < 470 for n in total.values())
