@@ -21,13 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import stash, text_or_empty
 
 #: Distinct digests in a shard, about; a shard's table takes some 50 bytes a digest.
 SHARD_KEYS = 200_000
+GROUPS = "digest binary, keep_id long, group_size long, n_keep long"
 GAMMA = 1.6
 LEVELS = 40
 
@@ -144,17 +145,34 @@ def merge_groups(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame
     """Groups of the history's and the batch's digests together; both as digest_groups() returns them."""
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
     both = history.withColumn("old", F.lit(True)).unionByName(batch.withColumn("old", F.lit(False)))
-    return both.withColumn("shard", shard).repartition(shards, "shard").mapInArrow(_merge_shards, "digest binary, keep_id long, group_size long, n_keep long")
+    return both.withColumn("shard", shard).repartition(shards, "shard").mapInArrow(_merge_shards, GROUPS)
 
 
-def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS) -> DataFrame:
+def _digests_of(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return df.select(df[doc_id].cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty(df, text), 256)).alias("digest"))
+
+
+def write_table(groups: DataFrame, path: str, shards: int) -> None:
+    """Store groups as a history, a folder for each of ``shards`` ranges of digests; ``read_table`` gives them back."""
+    shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
+    groups.withColumn("shard", shard).repartition(shards, "shard").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """digest, keep_id, group_size, n_keep of a stored history."""
+    return spark.read.schema(GROUPS).parquet(path).select("digest", "keep_id", "group_size", "n_keep")
+
+
+def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS, table: str | None = None, store: str | None = None) -> DataFrame:
     """One row per document with the document that stays of all with the same text.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, n_keep.  Of equal
     texts the row with the largest doc_id stays.  ``history`` holds documents
-    seen before (columns ``doc_id`` and ``text``): they take part in the groups
-    but get no rows of their own.  Without it, a half of ``docs`` dealt out by a
-    hash of doc_id counts as the earlier arrival.
+    seen before (columns ``doc_id`` and ``text``), or ``table`` the folder of
+    their groups: they take part in the groups but get no rows of their own.
+    Without both, a half of ``docs`` dealt out by a hash of doc_id counts as the
+    earlier arrival.  ``store`` names a folder for the groups of all, the next
+    batch's ``table``.
 
     Defined cases: a null text counts as empty, so null and empty texts are
     copies of each other; a null doc_id is smaller than any other; rows that
@@ -162,17 +180,20 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "
     says how many: ``drop_copies`` keeps one of them); an empty table gives an
     empty result.  Other columns, whatever their names, are not read.
     """
-
-    def digests(df: DataFrame) -> DataFrame:
-        return df.select(df[doc_id].cast("long").alias("doc_id"), F.unhex(F.sha2(text_or_empty(df, text), 256)).alias("digest"))
-
-    rows = digests(docs)
-    shards = max(1, -(-docs.count() // shard_keys))
-    if history is None:
-        early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-        groups = merge_groups(digest_groups(rows.filter(early)), digest_groups(rows.filter(~early)), shards)
+    rows = stash(_digests_of(docs, text, doc_id), "digests")
+    if table is not None:
+        old, new = read_table(docs.sparkSession, table), digest_groups(rows)
+    elif history is not None:
+        old, new = digest_groups(stash(_digests_of(history, text, doc_id), "history")), digest_groups(rows)
     else:
-        groups = merge_groups(digest_groups(digests(history)), digest_groups(rows), shards)
+        early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+        old, new = digest_groups(rows.filter(early)), digest_groups(rows.filter(~early))
+    known = 0 if table is None and history is None else old.count()
+    shards = max(1, -(-(known + rows.count()) // shard_keys))
+    groups = merge_groups(old, new, shards)
+    if store is not None:
+        write_table(groups, store, shards)
+        groups = read_table(docs.sparkSession, store)
     return rows.join(groups, "digest").select(
         "doc_id",
         "keep_id",

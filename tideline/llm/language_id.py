@@ -43,12 +43,28 @@ FAMILIES = {
     "semitic": ("am", "ar", "he", "mt"),
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a text that are worked on at a time; a longer one is cut at white space.
+_PART = 1 << 19
+_SPACE = re.compile(r"\s")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (text.isalpha() or any(map(str.isalpha, text)))
+
+
+def _parts(text: str) -> Iterator[str]:
+    start = 0
+    while len(text) - start > _PART:
+        space = _SPACE.search(text, start + _PART)
+        stop = min(space.start() if space else len(text), start + 2 * _PART)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 def family_of(language: str) -> str:
     return _FAMILY_OF.get(language.split("-")[0].split("_")[0].lower(), "other")
 
@@ -71,8 +87,7 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(text: str) -> np.ndarray:
-    got, _ = _hashed([text])
-    counts = np.bincount(got.ravel(), minlength=DIMS).astype(np.float32)
+    counts = sum(np.bincount(_hashed([p])[0].ravel(), minlength=DIMS) for p in _parts(text)).astype(np.float32)
     counts[0] = 0
     return counts * (SCALE / max(1.0, counts.sum()))
 
@@ -98,14 +113,30 @@ class LanguageModel:
     weights: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if has_letter(t)]
         out, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not known or not self.families:
             return out, scores
-        got, ends = _hashed([texts[k] for k in known])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        total = np.add.reduceat((got != 0).sum(axis=0), starts)
-        margins = np.stack([np.add.reduceat(w[got[0]] + w[got[1]], starts, dtype=np.float64) for w in self.weights], axis=1) if len(self.weights) else np.zeros((len(known), 0))
+        margins, total = np.zeros((len(known), len(self.weights))), np.zeros(len(known), np.int64)
+        held: list[tuple[int, str]] = []
+
+        def add() -> None:
+            rows = np.array([r for r, _ in held])
+            got, ends = _hashed([p for _, p in held])
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            np.add.at(total, rows, np.add.reduceat((got != 0).sum(axis=0), starts))
+            for i, w in enumerate(self.weights):
+                np.add.at(margins[:, i], rows, np.add.reduceat(w[got[0]] + w[got[1]], starts, dtype=np.float64))
+
+        size = 0
+        for row, k in enumerate(known):
+            for part in _parts(texts[k]):
+                if held and size + len(part) > 2 * _PART:
+                    add()
+                    held, size = [], 0
+                held.append((row, part))
+                size += len(part)
+        add()
         margins *= (SCALE / np.maximum(1, total))[:, None]
         sure = 1 / (1 + np.exp(-np.clip(3 * margins, -30, 30)))
         n = len(self.families) if len(self.families) > 1 else 0
@@ -131,6 +162,9 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on at most ``per_language`` labelled rows a language and ``rows`` in all, taken by a hash of the id.
 
+    A language has 8 rows at least, so no more than ``rows`` / 8 languages are
+    learned: those with the most rows.
+
     Rows count whose crc32(doc_id as text) mod 3 is not 1 and whose language and id are not null.
     """
     labelled = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[lang].cast("string").alias("lang"), text_or_empty(docs, text).alias("text")).filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
@@ -143,7 +177,7 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
-            found = [(features(t) if _LETTER.search(t) else np.zeros(DIMS, np.float32)) for t in batch.column(3).to_pylist()]
+            found = [(features(t) if has_letter(t) else np.zeros(DIMS, np.float32)) for t in batch.column(3).to_pylist()]
             at = [np.flatnonzero(x) for x in found]
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array([x[i] for x, i in zip(found, at)], pa.list_(pa.float32()))], names=["doc_id", "lang", "draw", "at", "x"])
 
@@ -208,7 +242,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text", lang:
             found, _ = model.predict(texts)
             given = batch.column(label)
             filled = pc.if_else(pc.is_null(given), pa.array(found, given.type), given)
-            known = pa.array([bool(t and _LETTER.search(t)) for t in texts], pa.bool_())  # also where the model learned no language
+            known = pa.array([has_letter(t) for t in texts], pa.bool_())  # also where the model learned no language
             batch = pa.record_batch([*batch.columns[:label], filled, *batch.columns[label + 1 :]], names=batch.schema.names)
             yield batch.filter(known)
 

@@ -5,20 +5,20 @@ as the assistant and all others as named users; the mask marks what the
 assistant says, with its closing marker.  Narrators (by default ``system``)
 are rendered as themselves and get no perspective of their own.
 
-A dialogue is rendered in blocks of consecutive turns, so no task ever gathers
-a dialogue of unbounded length: the blocks of a perspective, in the order of
-(block, part), are the whole rendering.  A dialogue of up to ``block_turns``
-turns is a single block.
+A dialogue is rendered in blocks of consecutive turns, and a block in parts of
+at most ``part_rows`` rows, so no value ever holds a dialogue of unbounded
+length: the parts of a perspective, in the order of (block, part), are the whole
+rendering.  A dialogue of up to ``block_turns`` turns, of one row each, is a
+single part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_TURNS = 64
-#: Rows a block may hold before it is divided by turn, and a turn by a hash of its rows.
-CROWD = 1024
+PART_ROWS = 1024
 
 #: The template.
 ASSISTANT = "<|assistant|>\n"
@@ -28,8 +28,8 @@ OPEN = "|>\n"
 END = "<|end|>\n"
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", narrators: tuple[str, ...] = ("system",), block_turns: int = BLOCK_TURNS, crowd: int = CROWD) -> DataFrame:
-    """One row per dialogue, participant and block.
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", narrators: tuple[str, ...] = ("system",), block_turns: int = BLOCK_TURNS, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row per dialogue, participant, block and part.
 
     Returns conv_id, perspective, block, part, n_turns, rendered, mask
     (array<struct<start, stop>>, in code points of this block's text) and
@@ -51,16 +51,10 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speak
         safe(F.coalesce(turns[text].cast("string"), F.lit(""))).alias("body"),
         F.coalesce(F.floor(at / block_turns), F.lit((1 << 63) - 1)).cast("long").alias("block"),
     )
-    sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd)
-    if sizes.isEmpty():
-        rows = rows.withColumn("part", F.lit(0).cast("long"))
-    else:
-        per_turn = rows.groupBy("conv_id", "block", "turn").agg(F.count(F.lit(1)).alias("m"))
-        full = per_turn.alias("t").join(sizes.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.block") == F.col("s.block")), "left_semi").select(*[F.col(c).alias(f"_{c}") for c in ("conv_id", "turn", "m")])
-        salt = F.pmod(F.xxhash64("speaker", "body", F.monotonically_increasing_id()), F.ceil(F.col("_m") / crowd))
-        part = F.when(F.col("_m").isNull(), F.lit(0)).otherwise((F.pmod(F.coalesce("turn", F.lit(0)), F.lit(block_turns)) + 1) * (1 << 40) + salt)
-        rows = rows.join(full, F.col("conv_id").eqNullSafe(F.col("_conv_id")) & F.col("turn").eqNullSafe(F.col("_turn")), "left").withColumn("part", part.cast("long")).drop("_conv_id", "_turn", "_m")
-    blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "speaker", "body"))).alias("turns"))
+    rows = rows.withColumn("turn", F.coalesce("turn", F.lit((1 << 63) - 1)))
+    place = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "speaker", "body"))
+    rows = rows.withColumn("part", F.floor((place - 1) / part_rows).cast("long"))
+    blocks = rows.groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
     people = rows.filter(~F.col("speaker").isin(*narrators)).select(F.col("conv_id").alias("_conv_id"), F.col("speaker").alias("perspective")).distinct()
     seen = blocks.join(people, F.col("conv_id").eqNullSafe(F.col("_conv_id")))
     mine = lambda t: t["speaker"] == F.col("perspective")

@@ -47,7 +47,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of every twentieth picture, sought among the pictures of all rows."""
+    """Cropped and darker copies of every twentieth row's picture, sought among the pictures of all rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return find_copies(draw(vectors.filter("vec_id % 20 = 0"), edited=True), draw(vectors, edited=False))
 
@@ -86,28 +86,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_perspective_rotation": """
         WITH t AS (
-            SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') AS speaker,
+            SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\\|') AS speaker, CAST(floor(turn / 64) AS BIGINT) AS block,
                    replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS said
             FROM conversations
+        ), b AS (
+            SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, speaker, said) - 1) // 1024 AS BIGINT) AS part FROM t
         ), p AS (
             SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'
         ), r AS (
-            SELECT p.conv_id, p.perspective, t.turn, t.speaker, t.said, t.speaker = p.perspective AS mine,
-                   CASE WHEN t.speaker = p.perspective THEN '<|assistant|>' WHEN t.speaker = 'system' THEN '<|system|>'
-                        ELSE '<|user name=' || t.speaker || '|>' END || chr(10) AS head
-            FROM p JOIN t ON t.conv_id = p.conv_id
+            SELECT p.conv_id, p.perspective, b.block, b.part, b.turn, b.speaker, b.said, b.speaker = p.perspective AS mine,
+                   CASE WHEN b.speaker = p.perspective THEN '<|assistant|>' WHEN b.speaker = 'system' THEN '<|system|>'
+                        ELSE '<|user name=' || b.speaker || '|>' END || chr(10) AS head
+            FROM p JOIN b ON b.conv_id IS NOT DISTINCT FROM p.conv_id
         ), o AS (
             SELECT *, sum(length(head) + length(said)) OVER (
-                PARTITION BY conv_id, perspective ORDER BY turn, speaker, said
+                PARTITION BY conv_id, perspective, block, part ORDER BY turn, speaker, said
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
             FROM r
         )
-        SELECT conv_id, perspective, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
+        SELECT conv_id, perspective, block, part, count(*) AS n_turns,
                string_agg(head || said, '' ORDER BY turn, speaker, said) AS rendered,
                coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(stop - length(said) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) END, ','
                         ORDER BY turn, speaker, said), '') AS mask,
                CAST(sum(CASE WHEN mine THEN length(said) ELSE 0 END) AS BIGINT) AS n_masked
-        FROM o GROUP BY conv_id, perspective
+        FROM o GROUP BY conv_id, perspective, block, part
     """,
     "op4_exact_dedup": """
         SELECT doc_id,
