@@ -1,7 +1,7 @@
 """Near-duplicate detection by order MinHash, verified by banded alignment.
 
-The k-mers are runs of three words, each labelled with its occurrence number in
-its text.  A sketch takes the ``TAKEN`` smallest labelled k-mers under one hash
+The k-mers are runs of five words, each labelled with its occurrence number in
+its text.  A sketch takes the two smallest labelled k-mers under one hash
 function and keeps them in text order, so it agrees with a probability that
 falls with the edit distance, not only with the shared set.  Two texts are
 candidates if at least one of ``SKETCHES`` sketches agrees, and near copies if
@@ -44,14 +44,11 @@ from tideline.llm.common import Shelf, byte_slices, safe_parts, stash, text_or_e
 from tideline.llm.components import components
 
 WORDS = 5
-#: Words of the k-mers that sketches take: five are too many for pairs near the bound.
-CANDIDATE_WORDS = 3
 SIMILARITY = 0.8
-SKETCHES = 32
-TAKEN = 2
+SKETCHES = 96
 SMALL = 12
 #: Common sketches from which on a text is compared with the first one of a larger bucket.
-SURE = 4
+SURE = 12
 #: Rare words in a part of step 3, about; texts that its order of rarity is learned from (more or fewer change no result).
 PART = 1_000_000
 LEARNED = 1024
@@ -161,23 +158,24 @@ def labelled_kmers(hashes: np.ndarray, counts: np.ndarray, k: int = WORDS) -> tu
     return out, n
 
 
+_HASHES = np.random.Generator(np.random.PCG64(7)).integers(0, (1 << 64) - 1, (SKETCHES, 2), np.uint64, endpoint=True) | np.array([0, 1], np.uint64)
+
+
 def sketches(kmers: np.ndarray, n: np.ndarray, number: int = SKETCHES) -> np.ndarray:
     """A row for each text with at least one k-mer: ``number`` order sketches of two k-mers each."""
     n = n[n > 0]
     starts = np.cumsum(n) - n
     out = np.empty((len(n), number), np.uint64)
     one = n == 1
+    # a hash value carries its k-mer's place in its low bits
+    low = np.uint64((1 << max(24, len(kmers).bit_length())) - 1)
+    place = np.arange(len(kmers), dtype=np.uint64)
     for i in range(number):
-        v = _mix(kmers ^ np.uint64((i + 1) * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
-        found = []
-        for _ in range(TAKEN):
-            least = np.minimum.reduceat(v, starts)
-            hit = np.flatnonzero(v == np.repeat(least, n))
-            owner = np.searchsorted(starts, hit, side="right") - 1
-            at = hit[np.unique(owner, return_index=True)[1]]
-            v[at] = _MAX
-            found.append(at)
-        a, b = np.minimum(*found), np.maximum(*found)
+        v = ((kmers ^ _HASHES[i, 0]) * _HASHES[i, 1]) & ~low | place
+        first = (np.minimum.reduceat(v, starts) & low).astype(np.int64)
+        v[first] = _MAX
+        second = np.where(one, first, (np.minimum.reduceat(v, starts) & low).astype(np.int64))
+        a, b = np.minimum(first, second), np.maximum(first, second)
         out[:, i] = _mix(kmers[a] * np.uint64(3) + np.where(one, np.uint64(0), _mix(kmers[b])))
     return out
 
@@ -247,7 +245,7 @@ def sketch_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         for batch in byte_slices(batches, "text", 1 << 20):
             raw = [x.as_buffer().to_pybytes() for x in batch.column(1)]
             hashes, counts = word_hashes(raw)
-            kmers, n = labelled_kmers(hashes, counts, CANDIDATE_WORDS)
+            kmers, n = labelled_kmers(hashes, counts)
             found = sketches(kmers, n).view(np.int64) if len(kmers) else np.zeros((0, SKETCHES), np.int64)
             offsets = np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]).astype(np.int32)
             sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
@@ -295,12 +293,11 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.join(ra, "a").join(rb, "b").filter("ra != rb").drop("ra", "rb")
 
 
-def near_roots(reps: DataFrame, docs: DataFrame, shelf: Shelf, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, root) for those ``reps`` (id, n_words, sketch) that share a bucket: the largest id that near-copy links join each to.
+def near_roots(members: DataFrame, docs: DataFrame, shelf: Shelf, least: float = SIMILARITY, small: int = SMALL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, root) for the ``members`` of shared buckets: the largest id that near-copy links join each to.
 
     The texts of these are read once, as words.
     """
-    members = shelf.put(_shared_buckets(reps.filter(F.size("sketch") > 0)), "members")
     label = shelf.put(members.select("id").distinct().select("id", F.col("id").alias("root")), "label")
     words = shelf.put(word_lists(label.select("id"), docs, text, doc_id), "words")
 
@@ -414,8 +411,7 @@ def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
     """
     spark = crowded.sparkSession
     total = crowded.count()
-    blocks = total // CROWD + 1
-    texts = words.join(crowded, "id").select("id", "n_words", "root", "words", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    texts = words.join(crowded, "id").select("id", "n_words", "root", "words")
     drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(min(1.0, LEARNED / total) * (1 << 20))
     # the order of rarity may be learned from any texts: it changes how many meet, not which near copies do
     learned = [np.frombuffer(r["words"], "<u4") for r in texts.filter(drawn & F.col("n_words").between(1, 4096)).limit(2 * LEARNED).select("words").collect()]
@@ -426,7 +422,7 @@ def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for number, n, root, raw, block in zip(*(batch.column(k) for k in range(5))):
+            for number, n, root, raw in zip(*(batch.column(k) for k in range(4))):
                 found, places, rare, n_rare = rarity.rarest(np.frombuffer(raw.as_buffer(), "<u4"), least)
                 mixed = int(_mix(np.array([number.as_py()], np.int64).view(np.uint64))[0])
                 for is_rare in (True, False):
@@ -434,15 +430,15 @@ def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
                     part = (keys >> np.uint64(20)) % np.uint64(parts)
                     for p in np.unique(part).tolist():
                         own = part == p
-                        rows.append((p, number.as_py(), n.as_py(), root.as_py(), block.as_py(), n_rare, is_rare, keys[own].tobytes(), where[own].astype("<u4").tobytes(), sides[own].tobytes()))
-            cols = list(zip(*rows)) or [()] * 10
-            kinds = (*[pa.int64()] * 6, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["part", "id", "n_words", "root", "block", "n_rare", "rare", "keys", "places", "sides"])
+                        rows.append((p, number.as_py(), n.as_py(), root.as_py(), n_rare, is_rare, keys[own].tobytes(), where[own].astype("<u4").tobytes(), sides[own].tobytes()))
+            cols = list(zip(*rows)) or [()] * 9
+            kinds = (*[pa.int64()] * 5, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["part", "id", "n_words", "root", "n_rare", "rare", "keys", "places", "sides"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(10))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(9))):
                 if held and row[0] != held[-1][0]:
                     yield from _met(held, rarity.size, parts == 1, least)
                     held = []
@@ -450,7 +446,7 @@ def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
         if held:
             yield from _met(held, rarity.size, parts == 1, least)
 
-    dealt = texts.mapInArrow(deal, "part long, id long, n_words long, root long, block long, n_rare long, rare boolean, keys binary, places binary, sides binary")
+    dealt = texts.mapInArrow(deal, "part long, id long, n_words long, root long, n_rare long, rare boolean, keys binary, places binary, sides binary")
     ranges = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(meet, "x long, y long, a array<long>, b array<long>, common array<long>")
 
@@ -468,10 +464,13 @@ def needed_rare(i: np.ndarray, j: np.ndarray, n: np.ndarray, n_rare: np.ndarray,
 
 
 def _met(rows: list[tuple], size: int, alone: bool, least: float) -> Iterator[pa.RecordBatch]:
-    """The texts of one part that have rare words in common, by the blocks of both; ``alone``: there is no other part."""
-    _, every, n, roots, block, n_rare, rare, keys, places, sides = zip(*rows)
+    """The texts of one part that have rare words in common, by the blocks of both; ``alone``: there is no other part.
+
+    Texts that meet a common third one are put into the same block, as far as it goes.
+    """
+    part, every, n, roots, n_rare, rare, keys, places, sides = zip(*rows)
     ids, first, text = np.unique(np.array(every, np.int64), return_index=True, return_inverse=True)
-    n, roots, block, n_rare = (np.array(c, np.int64)[first] for c in (n, roots, block, n_rare))
+    n, roots, n_rare = (np.array(c, np.int64)[first] for c in (n, roots, n_rare))
     each = [len(k) // 8 for k in keys]
     owner, is_rare = np.repeat(text, each), np.repeat(np.array(rare, bool), each)
     key = np.frombuffer(b"".join(keys), "<u8")
@@ -499,6 +498,12 @@ def _met(rows: list[tuple], size: int, alone: bool, least: float) -> Iterator[pa
         a, b, counts = a[enough], b[enough], counts[enough]
     if not len(a):
         return
+    drawn = _mix(ids.view(np.uint64).copy())
+    least_met = drawn.copy()
+    np.minimum.at(least_met, a, drawn[b])
+    np.minimum.at(least_met, b, drawn[a])
+    block = np.empty(len(ids), np.int64)
+    block[np.lexsort((drawn, least_met))] = np.arange(len(ids)) // CROWD + (int(part[0]) << 32)
     turn = block[a] > block[b]
     a, b = np.where(turn, b, a), np.where(turn, a, b)
     order = np.lexsort((-counts, block[b], block[a]))
@@ -702,7 +707,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
     copies; class_id is its largest doc_id, the document that stays.
 
     Defined cases: a null text counts as empty; a text without words is a near
-    copy of equal texts only; one of fewer than three words has all its words as
+    copy of equal texts only; one of fewer than five words has all its words as
     one shingle, so it is found by texts with the same words in the same order;
     a row with a null doc_id is a class of its own, with class_id null, and
     stays; rows that share a doc_id are joined by it, and are all ``kept`` if it
@@ -713,24 +718,26 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
         raise ValueError("least must be over 0.5 and at most 1")
     with Shelf(docs.sparkSession) as shelf:
         table = shelf.put(sketch_table(docs, text, doc_id), "sketches")
-        named = table.filter("doc_id is not null")
-        reps = named.groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select("digest", F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
-        reps = shelf.put(reps, "reps")
-        root = near_roots(reps.select("id", "n_words", "sketch"), docs, shelf, least, text=text, doc_id=doc_id)
-        of = reps.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
+        digests = shelf.put(table.select("doc_id", "digest"), "digests")
+        reps = table.filter("doc_id is not null").groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select(F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
+        members = shelf.put(_shared_buckets(reps.filter(F.size("sketch") > 0)), "members")
+        shelf.drop("sketches")
+        root = near_roots(members, docs, shelf, least, text=text, doc_id=doc_id)
         lone = F.col("doc_id").isNull()
-        known = table.select("doc_id", "digest").join(of, "digest", "left")
+        of = digests.filter(~lone).groupBy("digest").agg(F.max("doc_id").alias("id")).join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
+        known = digests.join(of, "digest", "left")
         return stash(known.select("doc_id", F.when(~lone, F.col("class_id")).alias("class_id"), (lone | (F.col("doc_id") == F.col("class_id"))).alias("kept")), "near")
 
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their own columns; of repeated rows with one id, one."""
-    verdict = near_classes(docs, least, text, doc_id).filter("kept")
-    gone = stash(verdict.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_tl_n")), "near-ids")
-    key = docs[doc_id].cast("long").alias("_tl_id")
-    rows = docs.select(*docs.columns, key).join(gone.select(F.col("doc_id").alias("_tl_id"), "_tl_n"), "_tl_id", "left")
+    verdict = near_classes(docs, least, text, doc_id).filter("doc_id is not null")
+    # the ids that go are few beside those that stay; as a table of their own their size decides the join
+    gone = stash(verdict.filter("not kept").select(F.col("doc_id").alias("_tl_id")).distinct(), "gone")
+    again = stash(verdict.filter("kept").groupBy(F.col("doc_id").alias("_tl_id")).agg(F.count(F.lit(1)).alias("_tl_n")).filter("_tl_n > 1"), "again")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    one = rows.filter("_tl_id is null or _tl_n = 1").select(*own)
-    if gone.filter("_tl_n > 1").isEmpty():
-        return one
-    return one.unionByName(rows.filter("_tl_n > 1").dropDuplicates(["_tl_id"]).select(*own))
+    rows = docs.select(*docs.columns, docs[doc_id].cast("long").alias("_tl_id")).join(gone, "_tl_id", "left_anti")
+    if again.isEmpty():
+        return rows.select(*own)
+    one = rows.join(again, "_tl_id", "left_anti").select(*own)
+    return one.unionByName(rows.join(again, "_tl_id", "left_semi").dropDuplicates(["_tl_id"]).select(*own))
