@@ -15,13 +15,17 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 #: Bytes that each of the two generations of a worker's table takes, about; bytes of a word from which on it is kept for its batch only.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 96 << 20
 LONG_WORD = 64
-#: Bytes of an entry besides its word and value, about.
-_ENTRY = 150
 #: Bytes of words that go to the library in one call.
 _CALL = 1 << 20
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and following.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(sorted(set(range(256)).difference(_PLAIN)))}
+_PUNCTUATION = frozenset(PUNCTUATION)
+#: A capital that may compose with what follows; letters of two bytes that start with C3 are no combining marks.
+_MAY_COMPOSE = re.compile(rb"[A-Z][\x80-\xc2\xc4-\xff]")
 _TABLES: dict[tuple, WordTable | PieceTable] = {}
 
 
@@ -32,6 +36,9 @@ class Generations:
     word, and seldom comes again.
     """
 
+    #: Bytes of an entry besides its word, about.
+    ENTRY = 160
+
     def __init__(self, bound: int):
         self.bound = bound
         self.known: dict = {}
@@ -44,8 +51,11 @@ class Generations:
         self.brief = {}
         if self.size > self.bound:
             self.older, self.known, self.size = self.known, {}, 0
+        new = words - self.known.keys()
+        if not self.older:
+            return list(new)
         out = []
-        for w in words - self.known.keys():
+        for w in new:
             got = self.older.get(w)
             if got is None:
                 out.append(w)
@@ -58,7 +68,7 @@ class Generations:
             self.brief[word] = value
         else:
             self.known[word] = value
-            self.size += _ENTRY + len(word) + (sum(map(len, value)) if isinstance(value, tuple) else len(value) if isinstance(value, bytes) else 0)
+            self.size += self.ENTRY + len(word)
 
     def lookup(self, words: list) -> Iterable:
         if not self.brief:
@@ -78,6 +88,10 @@ class WordTable(Generations):
     the tokenizer's pattern, so it is looked up apart.  Texts that hold "<|" are
     not lowered and their words with it not divided, so special strings are
     handled as the library does by default.
+
+    For lengths a batch's new words go to the library in one batch encoding.  For
+    ids, words of letters that normalization leaves alone go straight to the
+    library's BPE model, in the byte-level alphabet, the others to batch encoding.
     """
 
     def __init__(self, path: str, as_ids: bool, bound: int = TABLE_BYTES):
@@ -88,32 +102,43 @@ class WordTable(Generations):
 
         super().__init__(bound)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.as_ids = as_ids
 
     def split(self, text: bytes) -> list[bytes]:
         if b"<|" in text:
             return text.split()
-        if text.isascii():
+        if text.isascii() or not _MAY_COMPOSE.search(text):
             return text.lower().split()
         return [w.lower() if w.isascii() else w for w in text.split()]
 
     def learn(self, words: set[bytes]) -> None:
         """See to it that the table holds these words."""
-        new = self.missing(words)
-        halves = {w: self._halves(w) for w in new}
-        parts = dict.fromkeys(p for pair in halves.values() for p in pair)
-        found = {}
-        for part in parts:
-            if (got := self.known.get(part)) is not None:
-                found[part] = got
-        found.update(self._segmented([p for p in parts if p not in found]))
-        for w, pair in halves.items():
-            value = found[pair[0]]
-            for p in pair[1:]:
-                value = value + found[p]
-                if len(p) <= LONG_WORD and p not in self.known:
-                    self.keep(p, found[p])
-            self.keep(w, value)
+        new, divided, parts = [], [], set()
+        for w in self.missing(words):
+            if w[-1] in _PUNCTUATION and len(halves := self._halves(w)) > 1:
+                divided.append((w, *halves))
+                parts.update(halves)
+            else:
+                new.append(w)
+        known, brief = self.known, self.brief
+        parts.difference_update(known)
+        parts.difference_update(new)
+        size = 0
+        for w, value in self._segmented([*new, *parts]):
+            if len(w) > LONG_WORD:
+                brief[w] = value
+            else:
+                known[w] = value
+                size += self.ENTRY + len(w)
+        self.size += size
+        for w, base, end in divided:
+            value = (known[base] if base in known else brief[base]) + known.get(end, brief.get(end))
+            if len(w) > LONG_WORD:
+                brief[w] = value
+            else:
+                known[w] = value
+                self.size += self.ENTRY + len(w)
 
     def _halves(self, word: bytes) -> tuple[bytes, ...]:
         base = word if b"<|" in word else word.rstrip(PUNCTUATION)
@@ -124,13 +149,24 @@ class WordTable(Generations):
         return (word,)
 
     def _segmented(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes | int]]:
+        if self.as_ids:
+            rest, tokenize = [], self.model.tokenize
+            for word in words:
+                text = word.decode()
+                if text.isalpha() and (text.isascii() and text.islower() or unicodedata.is_normalized("NFC", text) and all(c.lower() == c for c in text)):
+                    ids = [t.id for t in tokenize(text if text.isascii() else word.decode("latin-1").translate(BYTE_ALPHABET))]
+                    yield word, struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    rest.append(word)
+            words = rest
         start = 0
         while start < len(words):
             stop, size = start, 0
             while stop < len(words) and (stop == start or size < _CALL):
                 size += len(words[stop])
                 stop += 1
-            for w, e in zip(words[start:stop], self.tokenizer.encode_batch_fast([w.decode() for w in words[start:stop]], add_special_tokens=False)):
+            part = words[start:stop]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 yield w, struct.pack(f"<{len(e)}I", *e.ids) if self.as_ids else len(e)
             start = stop
 
@@ -151,6 +187,7 @@ class PieceTable(Generations):
     constructor checks all three.
     """
 
+    ENTRY = 320
     MARK = "▁"
     SPLIT = re.compile(r" *[^ ]+| +")
 
