@@ -345,7 +345,7 @@ def test_image_recall(spark):
     brute = set()
     for q, one in queries.items():
         for t, other in targets.items():
-            if image_copies.agreement(one, other)[0] >= max(image_copies.LEAST, image_copies.SHARE * min(len(one), len(other))):
+            if image_copies.agreement(one, other)[0] >= image_copies.needed(one, other):
                 brute.add((q, t))
     assert got <= brute and len(got) >= 0.95 * len(brute) and all(q % 100 == t for q, t in brute)
 
