@@ -719,9 +719,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, text: str = "text",
     with Shelf(docs.sparkSession) as shelf:
         table = shelf.put(sketch_table(docs, text, doc_id), "sketches")
         digests = shelf.put(table.select("doc_id", "digest"), "digests")
-        reps = table.filter("doc_id is not null").groupBy("digest").agg(F.max(F.struct("doc_id", "n_words", "sketch")).alias("top")).select(F.col("top.doc_id").alias("id"), "top.n_words", "top.sketch")
-        members = shelf.put(_shared_buckets(reps.filter(F.size("sketch") > 0)), "members")
-        shelf.drop("sketches")
+        # texts with copies are few beside those without, whose sketches needn't be dealt out to find it
+        copies = shelf.put(digests.filter("doc_id is not null").groupBy("digest").agg(F.max("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "id"), "copies")
+        named = table.filter(F.col("doc_id").isNotNull() & (F.size("sketch") > 0)).select("digest", F.col("doc_id").alias("id"), "n_words", "sketch")
+        reps = named.join(copies.select("digest"), "digest", "left_anti").unionByName(named.join(copies, ["digest", "id"], "left_semi").dropDuplicates(["digest"]))
+        members = shelf.put(_shared_buckets(reps), "members")
+        shelf.drop("sketches", "copies")
         root = near_roots(members, docs, shelf, least, text=text, doc_id=doc_id)
         lone = F.col("doc_id").isNull()
         of = digests.filter(~lone).groupBy("digest").agg(F.max("doc_id").alias("id")).join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
