@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -150,6 +151,20 @@ def test_sketch_recall(spark, similarity, least):
     assert (sketch[::2] == sketch[1::2]).any(axis=1).mean() >= least
 
 
+def test_shuffle_files_go_with_each_table(spark):
+    """Writing a temporary table leaves no shuffle behind, and the session's setting as it was."""
+    from tideline.llm import common
+
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = held(), spark.conf.get(common._CLEANUP, None)
+    common.stash(spark.range(1000).repartition(7, "id"), "test")
+    for _ in range(40):
+        if held() <= before[0]:
+            break
+        time.sleep(0.25)
+    assert (held() <= before[0], spark.conf.get(common._CLEANUP, None)) == (True, before[1])
+
+
 def test_near_copies_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (None, "a b"), (None, None), (4, "w " * 40), (4, "w " * 40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
