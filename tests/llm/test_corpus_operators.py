@@ -151,6 +151,68 @@ def test_sketch_recall(spark, similarity, least):
     assert (sketch[::2] == sketch[1::2]).any(axis=1).mean() >= least
 
 
+def test_pairs_of_several_parts_are_counted(spark, monkeypatch):
+    """Different texts about one passage aren't moved to be aligned, whatever the number of parts; near copies are."""
+    from tideline.llm import order_minhash
+
+    monkeypatch.setattr(order_minhash, "PART", 500)
+    monkeypatch.setattr(order_minhash, "LEARNED", 1)
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1 << 31, 12)
+    texts = [np.concatenate([passage, rng.integers(0, 1 << 31, 108)]).astype("<u4") for _ in range(60)]
+    near = texts[7].copy()
+    near[rng.permutation(120)[:20]] += 1
+    texts.append(near)
+    crowded = spark.createDataFrame([(k, len(t), k) for k, t in enumerate(texts)], "id long, n_words int, root long")
+    words = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "id long, words binary")
+    met = order_minhash._meetings(crowded, words, 0.8).filter("x >= 0").collect()
+    assert {tuple(sorted(p)) for r in met for p in zip(r["a"], r["b"])} == {(7, 60)}
+
+
+@pytest.mark.parametrize("size", [1, 2])
+def test_needed_common_is_safe(size):
+    """No near copies have fewer keys in common than are asked for."""
+    from tideline.llm import order_minhash as o
+
+    rng = np.random.default_rng(size)
+    make = lambda n: np.minimum(rng.zipf(1.3, n), 1 << 20).astype("<u4")
+    texts = []
+    for n in rng.integers(1, 120, 150).tolist():
+        t = make(n)
+        texts.append(t)
+        for share in (0.1, 0.2, 0.25):
+            x = list(t)
+            for _ in range(int(share * n)):
+                at, kind = int(rng.integers(0, len(x) + 1)), int(rng.integers(0, 3))
+                x[at : at + (kind > 0)] = [int(make(1)[0])] * (kind < 2)
+            texts.append(np.array(x or [1], "<u4"))
+    every, counts = np.unique(np.concatenate([o.elements(t, size) for t in texts[::9]]), return_counts=True)
+    order = o.Rarity(size, every[counts > 1], counts[counts > 1], {})
+    found = [order.rarest(t, 0.8) for t in texts]
+    n, n_rare, seen = np.array([len(t) for t in texts]), np.array([f[2] for f in found]), 0
+    for k in range(0, len(texts), 4):
+        for i, j in ((k + x, k + y) for x in range(4) for y in range(x)):
+            if similar(texts[i], texts[j]) is None:
+                continue
+            seen += 1
+            one, other = np.array([i]), np.array([j])
+            rare_only = o.needed_rare(one, other, n, n_rare, size)[0] > 0
+            keys = [set(found[x][0][found[x][1] | (not rare_only)].tolist()) for x in (i, j)]
+            assert len(keys[0] & keys[1]) >= max(1, o.needed_common(one, other, n, n_rare, size)[0])
+    assert seen > 200
+
+
+def test_mixed_buckets_without_a_join_of_buckets(spark):
+    """Members of buckets of several components, a row for each, without a join of a bucket's rows with each other."""
+    from tideline.llm.order_minhash import _mixed
+
+    members = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (2, 1, 5), (2, 3, 5)], "bucket long, id long, n_words int")
+    label = spark.createDataFrame([(1, 2), (2, 2), (3, 3)], "id long, root long")
+    mixed = _mixed(members, label)
+    assert sorted((r["bucket"], r["id"], r["n_words"], r["root"]) for r in mixed.collect()) == [(2, 1, 5, 2), (2, 3, 5, 3)]
+    assert "LeftSemi" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shuffle_files_go_with_each_table(spark):
     """Writing a temporary table leaves no shuffle behind, and the session's setting as it was."""
     from tideline.llm import common

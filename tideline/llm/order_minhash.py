@@ -22,9 +22,10 @@ leave out pairs that earlier links have joined, which changes no class:
    near copies of up to ``d`` edits have one of their ``d`` + 1 rarest labelled
    words in common, whatever the order of rarity (word pairs: ``2 d`` + 1), and
    if common words alone do not suffice for the bound, a rare one.
-   Every pair that these, its lengths and the words' places do not rule out is
-   aligned, the likeliest first: this finds all near copies among these texts,
-   with a common sketch or without.
+   What two texts have in common is counted over all parts, by rows of many
+   pairs, before any text is moved.  Every pair that this count and its lengths
+   do not rule out is aligned, the likeliest first: this finds all near copies
+   among these texts, with a common sketch or without.
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ SMALL = 12
 SURE = 12
 #: Rare words in a part of step 3, about; texts that its order of rarity is learned from (more or fewer change no result).
 PART = 1_000_000
-LEARNED = 1024
+LEARNED = 8192
+LEARNED_WORDS = 1 << 21
 #: Texts with one rare word in common that meet in one place; more are dealt into blocks.
 HOT = 4000
 #: Texts on a side of a square of pairs that are aligned together.
@@ -61,6 +63,8 @@ ROUNDS = 2
 #: Texts in a block of step 3, pairs of which are aligned by squares; pairs in one row.
 CROWD = 2048
 SQUARE = 50_000
+#: Cells, at least, that the pairs of step 3 are dealt into to be counted; as many as the square of the parts, if that is more.
+CELLS = 32
 
 _PRIME = 0x9E3779B97F4A7C15
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -271,9 +275,10 @@ def _shared_buckets(rows: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members, with their roots, of the buckets that hold texts of several components."""
+    whole = Window.partitionBy("bucket")
     named = members.select("bucket", "id", "n_words").join(label, "id")
-    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    return named.join(apart, "bucket", "left_semi")
+    ranged = named.withColumns({"low": F.min("root").over(whole), "high": F.max("root").over(whole)})
+    return ranged.filter("low < high").drop("low", "high")
 
 
 def _relabel(label: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
@@ -355,8 +360,8 @@ class Rarity:
     counts: np.ndarray
     hot: dict[int, int]
 
-    def rarest(self, words: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """The elements of which near copies have one in common, their places, whether each is rare, and how many rare ones the text has."""
+    def rarest(self, words: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """The elements of which near copies have one in common, whether each is rare, and how many rare ones the text has."""
         found = elements(words, self.size)
         count = np.zeros(len(found), np.int64)
         if len(self.common):
@@ -364,7 +369,7 @@ class Rarity:
             count = np.where(self.common[at] == found, self.counts[at], 0)
         n = self.size * int(most_edits(np.array([len(words)]), least)[0]) + 1
         order = np.lexsort((found, count))[:n]
-        return found[order], order, count[order] == 0, int((count == 0).sum())
+        return found[order], count[order] == 0, int((count == 0).sum())
 
 
 def learn_rarity(texts: list[np.ndarray], total: int, least: float = SIMILARITY) -> Rarity:
@@ -385,34 +390,33 @@ def learn_rarity(texts: list[np.ndarray], total: int, least: float = SIMILARITY)
     return best[1]
 
 
-def _dealt(found: np.ndarray, places: np.ndarray, number: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, places and sides of a text's elements: a hot element has a key for each pair of blocks with the text's own."""
+def _dealt(found: np.ndarray, number: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sides of a text's elements: a hot element has a key for each pair of blocks with the text's own."""
     hot = [(k, x) for k, x in enumerate(found.tolist()) if x in rarity.hot] if rarity.hot else []
     if not hot:
-        return found, places, np.zeros(len(found), np.uint8)
+        return found, np.zeros(len(found), np.uint8)
     plain = np.ones(len(found), bool)
     plain[[k for k, _ in hot]] = False
-    keys, where, sides = [], [], []
-    for k, x in hot:
+    keys, sides = [], []
+    for _, x in hot:
         blocks = rarity.hot[x]
         own = number % blocks
         for other in range(blocks):
             keys.append((x + min(own, other) * 0x9FB21C651E98DF25 + max(own, other) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF)
-            where.append(places[k])
             sides.append(0 if own == other else 1 if own < other else 2)
-    return np.concatenate([found[plain], np.array(keys, np.uint64)]), np.concatenate([places[plain], np.array(where, np.int64)]), np.concatenate([np.zeros(plain.sum(), np.uint8), np.array(sides, np.uint8)])
+    return np.concatenate([found[plain], np.array(keys, np.uint64)]), np.concatenate([np.zeros(plain.sum(), np.uint8), np.array(sides, np.uint8)])
 
 
 def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """(x, y, a, b, common): pairs of texts of the blocks x and y that may be near copies, and how many keys they have in common in a part.
+    """(x, y, a, b, common): pairs of texts of the blocks x and y that may be near copies, and how many keys they have in common.
 
     Rows with x = -1 have the likeliest partners b of the text y.  ``crowded``
     has the ids, lengths and roots of the texts.
     """
     spark = crowded.sparkSession
-    total = crowded.count()
+    total, n_words = crowded.agg(F.count(F.lit(1)), F.sum("n_words")).first()
     texts = words.join(crowded, "id").select("id", "n_words", "root", "words")
-    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(min(1.0, LEARNED / total) * (1 << 20))
+    drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) <= int(min(1.0, LEARNED / total, LEARNED_WORDS / max(1, n_words)) * (1 << 20))
     # the order of rarity may be learned from any texts: it changes how many meet, not which near copies do
     learned = [np.frombuffer(r["words"], "<u4") for r in texts.filter(drawn & F.col("n_words").between(1, 4096)).limit(2 * LEARNED).select("words").collect()]
     rarity = learn_rarity(learned or [np.zeros(1, "<u4")], total, least)
@@ -423,32 +427,45 @@ def _meetings(crowded: DataFrame, words: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             rows = []
             for number, n, root, raw in zip(*(batch.column(k) for k in range(4))):
-                found, places, rare, n_rare = rarity.rarest(np.frombuffer(raw.as_buffer(), "<u4"), least)
+                found, rare, n_rare = rarity.rarest(np.frombuffer(raw.as_buffer(), "<u4"), least)
                 mixed = int(_mix(np.array([number.as_py()], np.int64).view(np.uint64))[0])
                 for is_rare in (True, False):
-                    keys, where, sides = _dealt(found[rare == is_rare], places[rare == is_rare], mixed, rarity)
+                    keys, sides = _dealt(found[rare == is_rare], mixed, rarity)
                     part = (keys >> np.uint64(20)) % np.uint64(parts)
                     for p in np.unique(part).tolist():
                         own = part == p
-                        rows.append((p, number.as_py(), n.as_py(), root.as_py(), n_rare, is_rare, keys[own].tobytes(), where[own].astype("<u4").tobytes(), sides[own].tobytes()))
-            cols = list(zip(*rows)) or [()] * 9
-            kinds = (*[pa.int64()] * 5, pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["part", "id", "n_words", "root", "n_rare", "rare", "keys", "places", "sides"])
+                        rows.append((p, number.as_py(), n.as_py(), root.as_py(), n_rare, is_rare, keys[own].tobytes(), sides[own].tobytes()))
+            cols = list(zip(*rows)) or [()] * 8
+            kinds = (*[pa.int64()] * 5, pa.bool_(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["part", "id", "n_words", "root", "n_rare", "rare", "keys", "sides"])
+
+    cells = max(CELLS, parts * parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(9))):
-                if held and row[0] != held[-1][0]:
-                    yield from _met(held, rarity.size, parts == 1, least)
-                    held = []
-                held.append(row)
-        if held:
-            yield from _met(held, rarity.size, parts == 1, least)
+        for rows in _runs(batches):
+            yield from _met(rows, rarity.size, cells, least)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            yield from _settled(rows)
+
+    dealt = texts.mapInArrow(deal, "part long, id long, n_words long, root long, n_rare long, rare boolean, keys binary, sides binary")
+    most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.repartition(min(parts, most), "part").sortWithinPartitions("part").mapInArrow(meet, "cell long, a binary, b binary, common binary, need binary")
+    return met.repartition(min(cells, most), "cell").sortWithinPartitions("cell").mapInArrow(settle, "x long, y long, a array<long>, b array<long>, common array<long>")
 
-    dealt = texts.mapInArrow(deal, "part long, id long, n_words long, root long, n_rare long, rare boolean, keys binary, places binary, sides binary")
-    ranges = max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(meet, "x long, y long, a array<long>, b array<long>, common array<long>")
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Runs of rows with an equal first column."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if held and row[0] != held[-1][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def needed_rare(i: np.ndarray, j: np.ndarray, n: np.ndarray, n_rare: np.ndarray, size: int, least: float = SIMILARITY) -> np.ndarray:
@@ -463,47 +480,92 @@ def needed_rare(i: np.ndarray, j: np.ndarray, n: np.ndarray, n_rare: np.ndarray,
     return np.where((n_rare[i] <= keys[i]) & (n_rare[j] <= keys[j]), need, np.minimum(need, 1))
 
 
-def _met(rows: list[tuple], size: int, alone: bool, least: float) -> Iterator[pa.RecordBatch]:
-    """The texts of one part that have rare words in common, by the blocks of both; ``alone``: there is no other part.
+def needed_common(i: np.ndarray, j: np.ndarray, n: np.ndarray, n_rare: np.ndarray, size: int, least: float = SIMILARITY) -> np.ndarray:
+    """How many of their keys the texts i and j must share to be near copies, at least; only rare ones count where ``needed_rare`` is over 0.
 
-    Texts that meet a common third one are put into the same block, as far as it goes.
+    Near copies share all but ``most`` elements of the longer.  Of two texts' keys
+    those of one, up to the less rare of their last ones, are all the elements of
+    either that are as rare; so a shared element is a key of both, or it is one of
+    the elements of this text that are no keys.  If that text has more rare
+    elements than keys, its keys are all rare.
     """
-    part, every, n, roots, n_rare, rare, keys, places, sides = zip(*rows)
+    whole = np.maximum(n - size + 1, 1)
+    keys = size * most_edits(n, least) + 1
+    rest = np.maximum(whole - keys, 0)
+    most = size * ((1 - least) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
+    shared = np.maximum(whole[i], whole[j]) - most - np.maximum(rest[i], rest[j])
+    rare = needed_rare(i, j, n, n_rare, size, least)
+    return np.where((rare > 0) & (n_rare[i] <= keys[i]) & (n_rare[j] <= keys[j]), rare, shared)
+
+
+def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs and the sums of their counts."""
+    found, at = np.unique(pairs, return_inverse=True)
+    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+
+
+def _met(rows: list[tuple], size: int, cells: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(cell, a, b, common, need): pairs of texts with keys of one part in common, how many, and how many they need of all parts."""
+    _, every, n, roots, n_rare, rare, keys, sides = zip(*rows)
     ids, first, text = np.unique(np.array(every, np.int64), return_index=True, return_inverse=True)
     n, roots, n_rare = (np.array(c, np.int64)[first] for c in (n, roots, n_rare))
     each = [len(k) // 8 for k in keys]
     owner, is_rare = np.repeat(text, each), np.repeat(np.array(rare, bool), each)
     key = np.frombuffer(b"".join(keys), "<u8")
-    place = np.frombuffer(b"".join(places), "<u4").astype(np.int64)
     side = np.frombuffer(b"".join(sides), np.uint8)
     order = np.argsort(key, kind="stable")
-    owner, key, place, side, is_rare = owner[order], key[order], place[order], side[order], is_rare[order]
+    owner, key, side, is_rare = owner[order], key[order], side[order], is_rare[order]
     pairs, counts, held = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        found, at = np.unique(np.concatenate([pairs, *held]), return_inverse=True)
-        weights = np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)])
-        return found, np.bincount(at, weights=weights, minlength=len(found)).astype(np.int64)
+        return _summed(np.concatenate([pairs, *held]), np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)]))
 
-    for i, j, by_rare in candidate_pairs(key, owner, place, side, is_rare, n, roots, least):
+    for i, j, by_rare in candidate_pairs(key, owner, side, is_rare, n, roots, least):
         useful = by_rare | (needed_rare(i, j, n, n_rare, size, least) <= 0)
         i, j = i[useful], j[useful]
         held.append(np.minimum(i, j) * len(ids) + np.maximum(i, j))
         if sum(map(len, held)) > 4_000_000:
             (pairs, counts), held = merged(), []
     pairs, counts = merged()
-    a, b = pairs // len(ids), pairs % len(ids)
-    if alone:  # all that two texts have in common is here
-        enough = counts >= needed_rare(a, b, n, n_rare, size, least)
-        a, b, counts = a[enough], b[enough], counts[enough]
-    if not len(a):
+    i, j = pairs // len(ids), pairs % len(ids)
+    need = needed_common(i, j, n, n_rare, size, least)
+    cell = (_mix(ids.view(np.uint64).copy()) % np.uint64(cells)).astype(np.int64)[i]
+    order = np.argsort(cell, kind="stable")
+    cell, i, j, counts, need = cell[order], i[order], j[order], counts[order], need[order]
+    if not len(cell):
+        return
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    starts = np.unique(np.concatenate([new, np.arange(0, len(cell), SQUARE)]))
+    cols = [ids[i].astype("<i8"), ids[j].astype("<i8"), counts.astype("<i4"), need.astype("<i4")]
+    for k in range(0, len(starts), 64):
+        some = starts[k : k + 64]
+        ends = [*starts[k + 1 : k + 64].tolist(), int(starts[k + 64]) if k + 64 < len(starts) else len(cell)]
+        packed = [pa.array([c[x:y].tobytes() for x, y in zip(some.tolist(), ends)], pa.binary()) for c in cols]
+        yield pa.record_batch([pa.array(cell[some]), *packed], names=["cell", "a", "b", "common", "need"])
+
+
+def _settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell that have enough in common over all parts, by the blocks of both texts.
+
+    Texts that meet a common third one are put into the same block, as far as it goes.
+    """
+    one, other, counts, need = (np.frombuffer(b"".join(r[k] for r in rows), t).astype(np.int64) for k, t in ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4")))
+    order = np.lexsort((other, one))
+    one, other, counts, need = one[order], other[order], counts[order], need[order]
+    new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (other[1:] != other[:-1])]))
+    counts = np.add.reduceat(counts, new)
+    enough = counts >= need[new]
+    one, other, counts = one[new][enough], other[new][enough], counts[enough]
+    if not len(one):
         return
+    ids, text = np.unique(np.concatenate([one, other]), return_inverse=True)
+    a, b = text[: len(one)], text[len(one) :]
     drawn = _mix(ids.view(np.uint64).copy())
     least_met = drawn.copy()
     np.minimum.at(least_met, a, drawn[b])
     np.minimum.at(least_met, b, drawn[a])
     block = np.empty(len(ids), np.int64)
-    block[np.lexsort((drawn, least_met))] = np.arange(len(ids)) // CROWD + (int(part[0]) << 32)
+    block[np.lexsort((drawn, least_met))] = np.arange(len(ids)) // CROWD + (int(rows[0][0]) << 32)
     turn = block[a] > block[b]
     a, b = np.where(turn, b, a), np.where(turn, a, b)
     order = np.lexsort((-counts, block[b], block[a]))
@@ -523,14 +585,14 @@ def _met(rows: list[tuple], size: int, alone: bool, least: float) -> Iterator[pa
     yield pa.record_batch([pa.array(np.full(len(begin), -1)), pa.array(ids[one[begin]]), pa.nulls(len(begin), pa.list_(pa.int64())), *best], names=names)
 
 
-def candidate_pairs(key: np.ndarray, owner: np.ndarray, place: np.ndarray, side: np.ndarray, rare: np.ndarray, n: np.ndarray, roots: np.ndarray, least: float = SIMILARITY, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts i and j of different components with an equal key (they are sorted) at places and of lengths that near copies can have; whether it is rare."""
+def candidate_pairs(key: np.ndarray, owner: np.ndarray, side: np.ndarray, rare: np.ndarray, n: np.ndarray, roots: np.ndarray, least: float = SIMILARITY, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts i and j of different components with an equal key (they are sorted) and of lengths that near copies can have; whether it is rare."""
     root = roots[owner]
 
     def possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j = owner[x], owner[y]
         most = ((1 - least) * np.maximum(n[i], n[j]) + 1e-9).astype(np.int64)
-        ok = (root[x] != root[y]) & (np.abs(n[i] - n[j]) <= most) & (np.abs(place[x] - place[y]) <= most) & ((side[x] == 0) | (side[x] != side[y]))
+        ok = (root[x] != root[y]) & (np.abs(n[i] - n[j]) <= most) & ((side[x] == 0) | (side[x] != side[y]))
         return i[ok], j[ok], rare[x[ok]]
 
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
