@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +217,31 @@ def plain_rotation(rows):
     return out
 
 
+def test_language_fit_is_small_on_the_driver(spark):
+    letters = {"de": "abcdefghijklmnop", "fi": "klmnopqrstuvwxyzåä"}
+    rng = random.Random(5)
+    words = {c: ["".join(rng.choices(x, k=rng.randint(2, 7))) for _ in range(4000)] for c, x in letters.items()}
+    df = spark.createDataFrame([(k, " ".join(rng.choices(words[c], k=250)), c) for k in range(6000) for c in [("de", "fi")[k % 2]]], "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language_id.fit(df, per_language=1600)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert model.predict([" ".join(words["fi"][:40]), " ".join(words["de"][:40])])[0] == ["fi", "de"]
+
+
+def test_feature_rows_as_a_matrix():
+    rng = np.random.default_rng(4)
+    dense = np.where(rng.random((300, language_id.DIMS)) < 0.2, rng.random((300, language_id.DIMS)), 0).astype(np.float32)
+    at = [np.flatnonzero(r).astype("<i2") for r in dense]
+    rows = language_id.Rows(at, [r[a] for r, a in zip(dense, at)])
+    some = np.arange(1, 300, 3)
+    w, v = rng.random(language_id.DIMS), rng.random(300)
+    assert len(rows.blocks) > 1
+    assert np.allclose(rows.times(w), dense @ w) and np.allclose(rows.weighed(v), v @ dense) and np.allclose(rows.squares(), (dense**2).sum(axis=1))
+    assert np.allclose(rows.taken(some).times(w), dense[some] @ w)
+
+
 @pytest.mark.parametrize(("block_turns", "part_rows"), [(64, 1024), (3, 1024), (3, 2)])
 def test_rotation(spark, block_turns, part_rows):
     rng = random.Random(2)

@@ -49,6 +49,8 @@ _SPACE = re.compile(r"\s")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
+#: Entries of the feature rows that a product works on at a time.
+_ENTRIES = 1 << 18
 
 
 def has_letter(text: str | None) -> bool:
@@ -92,16 +94,47 @@ def features(text: str) -> np.ndarray:
     return counts * (SCALE / max(1.0, counts.sum()))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
+class Rows:
+    """Feature rows by the numbers and values of the features they have, one at least; products hold little besides, whatever the number of rows."""
+
+    def __init__(self, at: list[np.ndarray], x: list[np.ndarray]):
+        self.at, self.x = at, x
+        sizes = np.array([len(a) for a in at], np.int64)
+        block = np.cumsum(sizes) // _ENTRIES
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+        self.blocks = [(slice(i, j), sizes[i:j], np.concatenate(at[i:j]), np.concatenate(x[i:j])) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def taken(self, rows: np.ndarray) -> Rows:
+        return Rows([self.at[k] for k in rows.tolist()], [self.x[k] for k in rows.tolist()])
+
+    def squares(self) -> np.ndarray:
+        return np.array([float((v.astype(np.float64) ** 2).sum()) for v in self.x])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Of each row the sum of its values times the weights of their features."""
+        out = np.zeros(len(self.at))
+        for rows, sizes, at, x in self.blocks:
+            out[rows] = np.add.reduceat(x * w[at], np.cumsum(sizes) - sizes)
+        return out
+
+    def weighed(self, v: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its weight."""
+        out = np.zeros(DIMS)
+        for rows, sizes, at, x in self.blocks:
+            out += np.bincount(at, weights=x * np.repeat(v[rows], sizes), minlength=DIMS)
+        return out
+
+
+def _svm(x: Rows, y: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
     """Weights of a linear machine for labels -1 and 1: squared hinge loss, classes balanced, accelerated gradient."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1.0 / (1.0 + 2 * cost * float((share * (x**2).sum(axis=1)).sum()))
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    step = 1.0 / (1.0 + 2 * cost * float((share * x.squares()).sum()))
+    w = ahead = np.zeros(DIMS)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (ahead - 2 * cost * ((share * slack * y) @ x))
+        slack = np.maximum(0, 1 - y * x.times(ahead))
+        new = ahead - step * (ahead - 2 * cost * x.weighed(share * slack * y))
         ahead, w = new + k / (k + 3) * (new - w), new
-    return w
+    return w.astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -179,33 +212,34 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
         for batch in byte_slices(batches, "text"):
             found = [(features(t) if has_letter(t) else np.zeros(DIMS, np.float32)) for t in batch.column(3).to_pylist()]
             at = [np.flatnonzero(x) for x in found]
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([i.astype(np.int16) for i in at], pa.list_(pa.int16())), pa.array([x[i] for x, i in zip(found, at)], pa.list_(pa.float32()))], names=["doc_id", "lang", "draw", "at", "x"])
+            packed = [pa.array([c.tobytes() for c in cols], pa.binary()) for cols in ([i.astype("<i2") for i in at], [x[i].astype("<f4") for x, i in zip(found, at)])]
+            yield pa.record_batch([*batch.columns[:3], *packed], names=["doc_id", "lang", "draw", "at", "x"])
 
-    taken = labelled.filter(take).select("doc_id", "lang", draw.alias("draw"), "text").mapInArrow(sparse, "doc_id long, lang string, draw long, at array<smallint>, x array<float>")
-    got = taken.filter(F.size("at") > 0).collect()
-    x, y, seen = [], [], {}
+    taken = labelled.filter(take).select("doc_id", "lang", draw.alias("draw"), "text").mapInArrow(sparse, "doc_id long, lang string, draw long, at binary, x binary")
+    # as bytes: lists of numbers take some 200 MB of the driver
+    got = taken.filter(F.length("at") > 0).collect()
+    at, x, y, seen = [], [], [], {}
     for r in sorted(got, key=lambda r: (r["draw"], r["doc_id"])):
         if seen.setdefault(r["lang"], 0) < each:
             seen[r["lang"]] += 1
-            row = np.zeros(DIMS, np.float32)
-            row[np.array(r["at"], np.int64)] = r["x"]
-            x.append(row)
+            at.append(np.frombuffer(r["at"], "<i2"))
+            x.append(np.frombuffer(r["x"], "<f4"))
             y.append(r["lang"])
-    return _model(np.array(x, np.float32).reshape(len(x), DIMS), y)
+    return _model(Rows(at, x), y)
 
 
-def _model(x: np.ndarray, y: list[str]) -> LanguageModel:
+def _model(x: Rows, y: list[str]) -> LanguageModel:
     codes = sorted(set(y))
     families = tuple(sorted({family_of(c) for c in codes}))
     languages = tuple(tuple(c for c in codes if family_of(c) == f) for f in families)
     of, own = np.array(y), np.array([family_of(c) for c in y])
     weights = []
     if len(families) > 1:
-        weights += [_svm(x, np.where(own == f, 1, -1).astype(np.float32)) for f in families]
+        weights += [_svm(x, np.where(own == f, 1, -1)) for f in families]
     for group in languages:
         for a, b in combinations(group, 2):
-            rows = (of == a) | (of == b)
-            weights.append(_svm(x[rows], np.where(of[rows] == a, 1, -1).astype(np.float32)))
+            rows = np.flatnonzero((of == a) | (of == b))
+            weights.append(_svm(x.taken(rows), np.where(of[rows] == a, 1, -1)))
     table = np.array(weights, np.float32).reshape(len(weights), DIMS)
     table[:, 0] = 0
     return LanguageModel(families, languages, table)
