@@ -9,9 +9,10 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from tideline.llm import language_id, pii
+from tideline.llm import language_id, order_minhash, pii, words
 from tideline.llm.exact_dedup import PerfectHash, drop_copies, exact_dedup
 from tideline.llm.perspectives import rotate
 from tideline.llm.piece_codec import encode_decode
@@ -217,6 +218,13 @@ def plain_rotation(rows):
     return out
 
 
+def test_word_tables_go_when_sketches_are_made():
+    words.word_table(WORD, True).learn({b"one", b"two"})
+    batch = pa.record_batch([pa.array([1]), pa.array(["one two three four five six"])], names=["doc_id", "text"])
+    assert [b.num_rows for b in order_minhash._sketched(iter([batch]))] == [1]
+    assert not words._TABLES
+
+
 def test_language_fit_is_small_on_the_driver(spark):
     letters = {"de": "abcdefghijklmnop", "fi": "klmnopqrstuvwxyzåä"}
     rng = random.Random(5)

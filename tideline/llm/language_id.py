@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import byte_slices, text_or_empty
+from tideline.llm.words import forget
 
 #: Bounds of the fitting sample: labelled rows a language, and in all.
 SAMPLE_PER_LANGUAGE = 400
@@ -271,6 +272,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text: str = "text", lang:
     at, label = docs.columns.index(text), docs.columns.index(lang)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in byte_slices(batches, text, 1 << 20):
             texts = batch.column(at).to_pylist()
             found, _ = model.predict(texts)

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import Shelf, byte_slices, safe_parts, stash, text_or_empty
 from tideline.llm.components import components
+from tideline.llm.words import forget
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -242,21 +243,24 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float |
     return 1 - d / longer if d <= most else None
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, digest, n_words, sketch for batches of doc_id and text."""
+    forget()
+    for batch in byte_slices(batches, "text", 1 << 20):
+        raw = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+        hashes, counts = word_hashes(raw)
+        kmers, n = labelled_kmers(hashes, counts)
+        found = sketches(kmers, n).view(np.int64) if len(kmers) else np.zeros((0, SKETCHES), np.int64)
+        offsets = np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]).astype(np.int32)
+        sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+        yield pa.record_batch([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in raw], pa.binary()), pa.array(counts.astype(np.int64)), sketch], names=["doc_id", "digest", "n_words", "sketch"])
+
+
 def sketch_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, digest, n_words, sketch of every row of ``docs``; the sketch of a text without words is empty."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches, "text", 1 << 20):
-            raw = [x.as_buffer().to_pybytes() for x in batch.column(1)]
-            hashes, counts = word_hashes(raw)
-            kmers, n = labelled_kmers(hashes, counts)
-            found = sketches(kmers, n).view(np.int64) if len(kmers) else np.zeros((0, SKETCHES), np.int64)
-            offsets = np.concatenate([[0], np.cumsum((n > 0) * SKETCHES)]).astype(np.int32)
-            sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-            yield pa.record_batch([batch.column(0), pa.array([hashlib.sha256(t).digest()[:16] for t in raw], pa.binary()), pa.array(counts.astype(np.int64)), sketch], names=["doc_id", "digest", "n_words", "sketch"])
-
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_or_empty(docs, text).alias("text"))
-    return narrow.mapInArrow(sketch, "doc_id long, digest binary, n_words long, sketch array<long>")
+    return narrow.mapInArrow(_sketched, "doc_id long, digest binary, n_words long, sketch array<long>")
 
 
 def _comparable(a: str, b: str, least: float):

@@ -4,7 +4,8 @@ A worker keeps one table for each tokenizer file across its tasks: every
 distinct word is segmented once by the library, a batch's new words in one
 call; texts are then put together from the table by position.  What a table
 drops when it has grown beyond its bound is segmented anew when it comes again,
-which costs time but never changes a result.
+which costs time but never changes a result.  Steps of other operators that
+hold much themselves drop the tables of their worker.
 """
 
 from __future__ import annotations
@@ -178,6 +179,11 @@ def word_table(path: str, as_ids: bool, bound: int = TABLE_BYTES) -> WordTable:
     return _TABLES[key]
 
 
+def forget() -> None:
+    """Give up this worker's tables, for a step that has no use for them: a worker that an earlier operator has left serves the next one too."""
+    _TABLES.clear()
+
+
 class PieceTable(Generations):
     """Ids and decoded bytes of a sentencepiece model, one entry for each distinct marked word.
 
