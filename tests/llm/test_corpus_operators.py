@@ -451,3 +451,27 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("digest", F.lit("clash"))
         assert stage(spark, docs.limit(0), SF).columns == docs.columns, name
+
+
+def test_common_corners_meet_by_longer_keys(spark):
+    """Corners that agree in one table's short key alone: a few such images meet, very many don't, but for equal corners."""
+    rng = np.random.default_rng(6)
+    short = image_copies._CHOICES[0][: image_copies.KEY_BITS]
+
+    def frames(asked, images):
+        rows = []
+        for k in range(images):
+            own = np.zeros(3, image_copies.CORNER)
+            bits = rng.integers(0, 2, (3, 256)).astype(np.uint8)
+            bits[:, short] = np.arange(3)[:, None] == np.arange(len(short)) % 3
+            own["bits"] = np.packbits(bits, axis=1)
+            rows.append((k, 3, own.tobytes()))
+        schema = "image_id long, n long, corners binary"
+        return spark.createDataFrame(rows[:asked], schema), spark.createDataFrame(rows, schema)
+
+    def pairs(asked, images):
+        with Shelf(spark) as shelf:
+            return sorted((r[0], r[1]) for r in image_copies.candidates(*frames(asked, images), shelf).collect())
+
+    assert pairs(3, image_copies.COMMON) == [(q, i) for q in range(3) for i in range(image_copies.COMMON)]
+    assert pairs(10, 300) == [(k, k) for k in range(10)]
